@@ -1,4 +1,313 @@
 """All queries of the n-gram engine, with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkglyph.functions import text as T
+from sparkglyph.operators import counts as C
+from sparkglyph.operators import lookup as L
+from sparkglyph.operators import models as M
+from sparkglyph.operators import personal as U
+from sparkglyph.operators import phrases as P
+from sparkglyph.operators import smoothing as S
+from sparkglyph.plans import oracles
+from sparkglyph.streaming import personal as streamed
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
+
+#: Words a capped vocabulary has here, words that count as stop words, and words that are common for phrases.
+CAP, STOP, COMMON, PAIRS = 1000, 20, 2000, 20_000
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def corpus(spark: SparkSession, sf_dir: str, orders: tuple[int, ...], name: str = "documents") -> DataFrame:
+    return C.ngram_counts(T.lines(read(spark, sf_dir, name)), orders)
+
+
+def unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.of_order(corpus(spark, sf_dir, (1,)), 1).select("w", "count")
+
+
+def kn2(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    return S.top_followers(S.kn_bigrams(corpus(spark, sf_dir, (2,), name)))
+
+
+def katz2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top_followers(S.katz_bigrams(corpus(spark, sf_dir, (2,))))
+
+
+def pruned3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.top_followers(S.pruned_trigrams(corpus(spark, sf_dir, (1, 2, 3))))
+
+
+@query
+def unigram_counts(spark, sf_dir):
+    return unigrams(spark, sf_dir)
+
+
+@query
+def bigram_counts(spark, sf_dir):
+    return C.of_order(corpus(spark, sf_dir, (2,)), 2)
+
+
+@query
+def trigram_counts(spark, sf_dir):
+    return C.of_order(corpus(spark, sf_dir, (3,)), 3)
+
+
+@query
+def count_of_counts(spark, sf_dir):
+    return C.count_of_counts(corpus(spark, sf_dir, (1, 2, 3)))
+
+
+@query
+def context_totals(spark, sf_dir):
+    return C.context_totals(C.of_order(corpus(spark, sf_dir, (2,)), 2))
+
+
+@query
+def continuation_prob(spark, sf_dir):
+    return C.continuation(C.of_order(corpus(spark, sf_dir, (2,)), 2))
+
+
+@query
+def unigram_mle(spark, sf_dir):
+    return C.unigram_mle(unigrams(spark, sf_dir))
+
+
+@query
+def kn_bigram_topk(spark, sf_dir):
+    return kn2(spark, sf_dir)
+
+
+@query
+def kn_trigram_topk(spark, sf_dir):
+    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3))))
+
+
+@query
+def kn_trigram_unpruned(spark, sf_dir):
+    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3)), least=10, k=None))
+
+
+@query
+def kn_order4(spark, sf_dir):
+    return S.top_followers(S.kn_order(corpus(spark, sf_dir, (2, 3, 4)), 4))
+
+
+@query
+def katz_discounts(spark, sf_dir):
+    return S.katz_discounts(corpus(spark, sf_dir, (1, 2, 3))).withColumn("d", F.round("d", 6))
+
+
+@query
+def katz_bigram_topk(spark, sf_dir):
+    return katz2(spark, sf_dir)
+
+
+@query
+def katz_trigram_topk(spark, sf_dir):
+    return S.top_followers(S.katz_trigrams(corpus(spark, sf_dir, (1, 2, 3))))
+
+
+@query
+def pruned_trigram_topk(spark, sf_dir):
+    return pruned3(spark, sf_dir)
+
+
+@query
+def log_ratio_topk(spark, sf_dir):
+    return S.top_followers(S.log_ratio(corpus(spark, sf_dir, (2,)), PAIRS))
+
+
+@query
+def stop_word_rescore(spark, sf_dir):
+    return M.rescored(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), STOP)).withColumn("score", F.round("score", 5))
+
+
+@query
+def word_scores(spark, sf_dir):
+    return M.word_scores(unigrams(spark, sf_dir))
+
+
+@query
+def compare_sweep(spark, sf_dir):
+    return M.compare_sweep(kn2(spark, sf_dir), katz2(spark, sf_dir))
+
+
+@query
+def compare_identical(spark, sf_dir):
+    return M.identical_lists(kn2(spark, sf_dir), katz2(spark, sf_dir))
+
+
+@query
+def compare_three_way(spark, sf_dir):
+    return M.three_way(kn2(spark, sf_dir), katz2(spark, sf_dir), kn2(spark, sf_dir, "conversations"))
+
+
+@query
+def dropped_contexts(spark, sf_dir):
+    return M.dropped_contexts(kn2(spark, sf_dir), kn2(spark, sf_dir, "conversations"))
+
+
+@query
+def top_disagreements(spark, sf_dir):
+    return M.top_disagreements(kn2(spark, sf_dir), katz2(spark, sf_dir))
+
+
+@query
+def follower_stats(spark, sf_dir):
+    return M.follower_stats(kn2(spark, sf_dir))
+
+
+@query
+def vocab_cap(spark, sf_dir):
+    return M.vocab_cap(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), CAP))
+
+
+@query
+def vocab_capped_model(spark, sf_dir):
+    return M.capped(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), CAP))
+
+
+@query
+def quantized_scores(spark, sf_dir):
+    return M.quantized(kn2(spark, sf_dir), log=False).select("ctx", "rank", "w", "byte")
+
+
+@query
+def quantization_flips(spark, sf_dir):
+    return M.quantization_flips(kn2(spark, sf_dir), log=False)
+
+
+@query
+def pack_vocabulary(spark, sf_dir):
+    return M.vocabulary(unigrams(spark, sf_dir))
+
+
+@query
+def pack_followers(spark, sf_dir):
+    return M.pack_followers(kn2(spark, sf_dir), M.vocabulary(unigrams(spark, sf_dir)))
+
+
+@query
+def clean_line_reasons(spark, sf_dir):
+    return T.cleaned(T.lines(read(spark, sf_dir, "documents"))).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def sentence_split(spark, sf_dir):
+    rows = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.sentences(T.plain_typography(F.col("text")))).alias("no", "sentence"))
+    return rows.where(F.size(T.raw_words(F.col("sentence"))) >= 6)
+
+
+def _phrases(spark, sf_dir):
+    lines = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.raw_words(F.col("text")), 2, 3), " ").alias("text"))
+    return P.candidates(lines)
+
+
+@query
+def phrase_candidates(spark, sf_dir):
+    return _phrases(spark, sf_dir)
+
+
+@query
+def phrase_counts(spark, sf_dir):
+    return P.phrase_counts(T.lines(read(spark, sf_dir, "documents")), _phrases(spark, sf_dir))
+
+
+@query
+def phrase_all_common(spark, sf_dir):
+    return P.all_common(_phrases(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), COMMON))
+
+
+def _requests(spark, sf_dir):
+    cases = P.eval_cases(read(spark, sf_dir, "benchmark"))
+    return cases.withColumn("request_id", F.concat_ws(":", "item_id", "no"))
+
+
+def _kn3(spark, sf_dir):
+    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3))))
+
+
+@query
+def eval_cases(spark, sf_dir):
+    return P.eval_cases(read(spark, sf_dir, "benchmark"))
+
+
+@query
+def next_words(spark, sf_dir):
+    return L.next_words(_requests(spark, sf_dir).withColumn("ctx", F.col("w2")), kn2(spark, sf_dir))
+
+
+@query
+def support_lookup(spark, sf_dir):
+    return L.support(_requests(spark, sf_dir).withColumn("ctx", F.col("w2")), kn2(spark, sf_dir))
+
+
+@query
+def cascade(spark, sf_dir):
+    return L.cascade(_requests(spark, sf_dir), _kn3(spark, sf_dir), kn2(spark, sf_dir))
+
+
+@query
+def eval_pass_rate(spark, sf_dir):
+    asked = _requests(spark, sf_dir)
+    return P.pass_rate(asked, L.cascade(asked, _kn3(spark, sf_dir), kn2(spark, sf_dir)))
+
+
+def _typed(spark, sf_dir):
+    return P.eval_cases(read(spark, sf_dir, "benchmark")).select("target").distinct()
+
+
+@query
+def prefix_completion(spark, sf_dir):
+    return L.completions(_typed(spark, sf_dir).select(F.substring("target", 1, 3).alias("prefix")), unigrams(spark, sf_dir))
+
+
+@query
+def fuzzy_matches(spark, sf_dir):
+    return L.fuzzy(_typed(spark, sf_dir).select(F.col("target").alias("query")), unigrams(spark, sf_dir))
+
+
+@query
+def user_transitions(spark, sf_dir):
+    return U.transitions(read(spark, sf_dir, "events")).withColumn("dee", F.round("dee", 6))
+
+
+@query
+def user_scores(spark, sf_dir):
+    return U.scores(read(spark, sf_dir, "events")).select("user_id", "prev", "w", F.round("score", 6).alias("score"))
+
+
+@query
+def word_decay(spark, sf_dir):
+    return U.decayed(U.word_frequencies(read(spark, sf_dir, "events")), F.lit(7))
+
+
+@query
+def double_events(spark, sf_dir):
+    return U.double_events(read(spark, sf_dir, "events"), 3600.0)
+
+
+@query
+def event_metrics(spark, sf_dir):
+    return U.metrics(read(spark, sf_dir, "events"))
+
+
+@query
+def stream_word_frequencies(spark, sf_dir):
+    return streamed.word_frequencies(spark, f"{sf_dir}/events.parquet")
