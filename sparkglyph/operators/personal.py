@@ -49,10 +49,10 @@ def word_frequencies(events: DataFrame) -> DataFrame:
 
 
 def double_events(events: DataFrame, gap_s: float) -> DataFrame:
-    """Events that repeat the user's one before, less than `gap_s` after it."""
+    """Events that repeat the user's one before, less than `gap_s` after it (times without a zone count as the session's)."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = events.withColumn("before", F.lag("event_type").over(order)).withColumn("at", F.lag("ts").over(order))
-    gap = F.unix_micros("ts") - F.unix_micros("at")
+    gap = F.timestamp_diff("MICROSECOND", F.col("at"), F.col("ts"))
     return rows.where((F.col("before") == F.col("event_type")) & (gap >= 0) & (gap < int(gap_s * 1_000_000))).select("user_id", "event_id", "event_type", gap.alias("gap_us"))
 
 

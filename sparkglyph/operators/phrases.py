@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkglyph.functions.text import raw_words
@@ -17,9 +17,13 @@ def candidates(rows: DataFrame, few: int = 3, many: int = 5) -> DataFrame:
 
 def windows(lines: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
     """(phrase): every run of words of these sizes, lower-cased, punctuation kept."""
-    t = F.col("t")
-    parts = [F.when(F.size("t") >= n, F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i, n=n: F.array_join(F.slice(t, i, n), " "))).otherwise(F.array().cast("array<string>")) for n in sizes]
-    return lines.select(F.transform(raw_words(F.col("line")), F.lower).alias("t")).select(F.explode(F.concat(*parts)).alias("phrase"))
+
+
+    def runs(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))
+        return F.when(F.size("t") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    return lines.select(F.transform(raw_words(F.col("line")), F.lower).alias("t")).select(F.explode(F.concat(*map(runs, sizes))).alias("phrase"))
 
 
 def phrase_counts(lines: DataFrame, phrases: DataFrame) -> DataFrame:

@@ -70,13 +70,13 @@ def kn_order(counts: DataFrame, n: int, d: float = DISCOUNT) -> DataFrame:
 def katz_discounts(counts: DataFrame, k: int = KATZ_K, textbook: bool = False) -> DataFrame:
     """(n, r, d) for r from 1 to k: min((r + 1) / r * N[r + 1] / N[r] / ratio, 1) with ratio = (k + 1) * N[k + 1] / N[1], and 1
     where a bin is empty. textbook: (x - ratio) / (1 - ratio) in place of x / ratio."""
-    bins = counts.groupBy("n").agg(F.array(*[F.count_if(F.col("count") == r).cast("double") for r in range(1, k + 2)]).alias("N"))
-    ratio = (k + 1) * F.element_at("N", k + 1) / F.element_at("N", 1)
-    at = lambda r: F.element_at("N", r)
+    bins = counts.groupBy("n").agg(F.array(*[F.count_if(F.col("count") == r).cast("double") for r in range(1, k + 2)]).alias("bins"))
+    ratio = (k + 1) * F.element_at("bins", k + 1) / F.element_at("bins", 1)
+    at = lambda r: F.element_at("bins", r)
     x = (F.col("r") + 1) / F.col("r") * (at(F.col("r") + 1) / at(F.col("r")))
     d = F.least((x - ratio) / (1 - ratio) if textbook else x / ratio, F.lit(1.0))
     whole = (at(1) > 0) & (at(k + 1) > 0)
-    rows = bins.select("n", "N", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("r"))
+    rows = bins.select("n", "bins", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("r"))
     return rows.select("n", F.col("r").cast("long").alias("r"), F.when(whole & (at(F.col("r")) > 0) & (at(F.col("r") + 1) > 0), d).otherwise(1.0).alias("d"))
 
 

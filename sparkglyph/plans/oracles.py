@@ -122,8 +122,8 @@ part("answers", "cases kn2 kn3", f"SELECT *, 0 AS tier FROM ({_NEXT % ('kn3', ch
 part(
     "casc",
     "answers cases",
-    "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN tiers = 1 THEN 0 ELSE -votes END, at.tier, at.place) AS place, w FROM (SELECT request_id, w, sum(support * (many - place + 1)) AS votes, max(tiers) AS tiers, "
-    "min({'tier': tier, 'place': place}) AS at FROM (SELECT *, count(*) OVER (PARTITION BY request_id, tier) AS many FROM answers) JOIN (SELECT request_id, count(DISTINCT tier) AS tiers FROM answers GROUP BY 1) USING (request_id) GROUP BY 1, 2) "
+    "SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY CASE WHEN tiers = 1 THEN 0 ELSE -votes END, seat.tier, seat.place) AS place, w FROM (SELECT request_id, w, sum(support * (many - place + 1)) AS votes, max(tiers) AS tiers, "
+    "min({'tier': tier, 'place': place}) AS seat FROM (SELECT *, count(*) OVER (PARTITION BY request_id, tier) AS many FROM answers) JOIN (SELECT request_id, count(DISTINCT tier) AS tiers FROM answers GROUP BY 1) USING (request_id) GROUP BY 1, 2) "
     "JOIN (SELECT request_id, w1, w2 FROM cases) USING (request_id) WHERE tiers = 1 OR (w <> w1 AND w <> w2) QUALIFY place <= 5",
 )
 part("typed", "cases", "SELECT DISTINCT target FROM cases")
@@ -164,7 +164,7 @@ ORACLES: dict[str, str] = {
     "clean_line_reasons": sql("", rf"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN regexp_full_match(trim(line), '[A-Z][a-zA-Z'' ]{{0,20}}:\s*') THEN 'label' WHEN len({_WORDS % (chr(39).join(['regexp_replace(trim(line), ', r'^-\s*', ', ', '', ')']))}) < 3 THEN 'short' ELSE 'kept' END AS reason FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY reason"),
     "phrase_candidates": sql("phr", "SELECT * FROM phr"),
     "phrase_counts": sql("phr", f"SELECT phrase, count(*) AS count FROM (SELECT unnest(list_transform(range(1, len(t) - n + 2), lambda i: array_to_string(t[i:i + n - 1], ' '))) AS phrase FROM (SELECT list_transform({_WORDS % 'line'}, lambda x: lower(x)) AS t FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)), (SELECT unnest([3, 4, 5]) AS n)) JOIN phr USING (phrase) GROUP BY phrase"),
-    "phrase_all_common": sql("phr common", "SELECT * FROM phr WHERE len(list_filter(string_split(phrase, ' '), lambda x: NOT list_contains((SELECT list(w) FROM common), x))) = 0"),
+    "phrase_all_common": sql("phr common", "SELECT * FROM phr WHERE phrase NOT IN (SELECT phrase FROM (SELECT phrase, unnest(string_split(phrase, ' ')) AS w FROM phr) WHERE w NOT IN (SELECT w FROM common))"),
     "eval_cases": sql("cases", "SELECT * EXCLUDE (request_id) FROM cases"),
     "next_words": sql("cases kn2", _NEXT % ("kn2", "w2")),
     "support_lookup": sql("cases kn2", "SELECT request_id, coalesce(support, 0) AS support FROM cases LEFT JOIN (SELECT ctx, max(support) AS support FROM kn2 GROUP BY ctx) m ON m.ctx = w2"),

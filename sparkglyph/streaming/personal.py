@@ -26,7 +26,7 @@ def word_frequencies(spark: SparkSession, path: str, state: str | None = None) -
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)
-    kept = source.groupBy("user_id", F.col("event_type").alias("w")).agg(F.count("*").alias("frequency"))
+    kept = source.select("user_id", F.col("event_type").alias("w")).groupBy("user_id", "w").agg(F.count("*").alias("frequency"))
     kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     held = spark.read.format("statestore").load(state)
     return held.select(F.col("key.user_id").alias("user_id"), F.col("key.w").alias("w"), F.col("value.count").alias("frequency"))
