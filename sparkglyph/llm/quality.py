@@ -67,7 +67,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, np.ndar
     size = 1 << BITS
     weights = np.zeros(size, np.float32)
     share = float(labels.mean()) if len(labels) else 0.5
-    if not 0 < share < 1:
+    if len(np.unique(labels)) < 2:
         odds = min(max(share, 1e-6), 1 - 1e-6)
         return weights, weights, 0.0, 0.0, float(np.log(odds / (1 - odds)))
     n = [np.ones(size), np.ones(size)]
