@@ -22,6 +22,8 @@ from ._base import BROADCAST_ROWS, documents, matching, work_path, written
 
 _SPACES = " \t\n\x0b\x0c\r"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Whether each state partition reserves megabytes of disk for logs before it has any; with many small partitions that is most of it.
+_RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -43,6 +45,7 @@ def retain(digests: DataFrame, folder: str, state: str) -> DataFrame:
     spark = digests.sparkSession
     before = spark.conf.get(_PROVIDER)
     spark.conf.set(_PROVIDER, _ROCKSDB)
+    spark.conf.set(_RESERVE, "false")
     try:
         stream = spark.readStream.schema(digests.schema).parquet(folder)
         best = F.max(F.struct("size", "rank", "file", "row"))
@@ -50,6 +53,7 @@ def retain(digests: DataFrame, folder: str, state: str) -> DataFrame:
         kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.set(_PROVIDER, before)
+        spark.conf.unset(_RESERVE)
     held = spark.read.format("statestore").load(state)
     return held.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("best"), F.col("value.count").alias("n"))
 
