@@ -10,8 +10,10 @@ Steps, all on tables in the shared folder:
  2. a band value that only one class has can't make a shared key, so keys are formed only from values that recur.
  3. in each key's bucket every class is paired with the smallest one (a star, no pairs of all with all); pairs pass a
     loose test on minhashes, and then the full sets decide. Components of the confirmed links.
- 4. buckets that still hold several components: pairs of different components, in blocks of bounded size, the same two
-    tests. After this step each pair of classes that shares a key is confirmed, refuted or already connected.
+ 4. buckets that still hold several components, in blocks of bounded size: first the minhashes tell which classes have
+    a possible partner of another component, then these classes' full sets meet in the block and decide. A block gives
+    the links that join its components, so never more than it has classes. Members of a bucket's largest component don't
+    meet each other. After this step each pair of classes that shares a key is confirmed, refuted or already connected.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows each get a row; a null
 doc_id is kept as a row but never names a component; kept is false for it. Extra columns are ignored.
@@ -33,9 +35,9 @@ from ._words import mix, shingle_sets
 
 SHINGLE, SIMILAR = 5, 75
 BAND, TABLES = 2, 12
-#: Classes of a bucket that meet in one task of step 4, and minhashes of HASHES that must agree there and in step 3
-#: (a pair at 0.75 has 36 on average; fewer than 20 has a probability below 1e-6).
-BLOCK, AGREE = 2048, 20
+#: Classes of a bucket, and shingles of them, in one block of step 4, and minhashes of HASHES that must agree there and in
+#: step 3 (a pair at 0.75 has 36 on average; fewer than 20 has a probability below 1e-6).
+BLOCK, BLOCK_SHINGLES, AGREE = 2048, 2_000_000, 20
 HASHES = 2 * BAND * TABLES
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -112,26 +114,30 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Of (a, b) pairs of classes those that the full sets confirm."""
-    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+def full_sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, members) of the classes in ids (rep, distinct)."""
     texts = matching(docs.select("doc_id", "text"), ids.withColumnRenamed("rep", "doc_id"), "doc_id")
     sets = written(texts.mapInArrow(_sets, "rep long, digest binary, members binary"), "sets")
     # a doc_id may stand on rows with different texts: the class's own set is the one with its digest
-    sets = sets.dropDuplicates(["rep", "digest"]).join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi")
+    return sets.dropDuplicates(["rep", "digest"]).join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "members")
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Of (a, b) pairs of classes those that the full sets confirm."""
+    ids = written(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), "ids")
+    sets = full_sets(ids, docs, reps)
     first = pairs.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("sb")), "b")
     both = first.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("sa")), "a")
     return both.mapInArrow(_confirmed, "a long, b long")
 
 
-def _blocks(key: tuple, rows: pa.Table) -> pa.Table:
-    """Pairs of different components of one block pair that agree in AGREE minhashes, each in its first common table only."""
+def _candidates(key: tuple, rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of pairs of different components in one block that agree in AGREE minhashes, each in its first common
+    table only; ascending by the first number."""
     _, table_no, p, q = (k.as_py() for k in key)
-    rep, comp, n = (rows.column(c).to_numpy() for c in ("rep", "label", "n_shingles"))
-    at = rows.column("block").to_numpy()
+    rep, comp, n, at = (rows.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "block"))
     h = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint32).reshape(-1, HASHES)
     left, right = np.flatnonzero(at == p), np.flatnonzero(at == q)
-    found_a, found_b = [], []
     step = max(1, 1_000_000 // max(1, len(right)))
     for k in range(0, len(left), step):
         i = left[k : k + step]
@@ -145,10 +151,44 @@ def _blocks(key: tuple, rows: pa.Table) -> pa.Table:
             bands = same.reshape(len(x), 2, TABLES, BAND).all(axis=3)
             first = bands[:, 0].argmax(axis=1) * TABLES + bands[:, 1].argmax(axis=1)
             ok = (same.sum(axis=1) >= AGREE) & (first == table_no)
-            found_a.append(rep[x[ok]])
-            found_b.append(rep[y[ok]])
-    a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-    return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            yield x[ok], y[ok]
+
+
+def _partnered(key: tuple, rows: pa.Table) -> pa.Table:
+    """The rows of a block that have a candidate in it."""
+    some = np.zeros(rows.num_rows, bool)
+    for x, y in _candidates(key, rows):
+        some[x] = some[y] = True
+    return rows.filter(pa.array(some))
+
+
+def _joined(key: tuple, rows: pa.Table) -> pa.Table:
+    """Links (a, b), confirmed on full sets, that connect the same components of a block as all its links do."""
+    sets = [np.frombuffer(m.as_py(), np.uint64) for chunk in rows.column("members").chunks for m in chunk]
+    size = np.array([len(s) for s in sets], np.int64)
+    begin = np.cumsum(size) - size
+    _, place = np.unique(np.concatenate(sets), return_inverse=True)
+    own = np.zeros(int(place.max()) + 1, bool)
+    rep = rows.column("rep").to_numpy()
+    _, comp = np.unique(rows.column("label").to_numpy(), return_inverse=True)
+    found_a, found_b = [], []
+    for x, y in _candidates(key, rows):
+        edges = np.flatnonzero(np.diff(x, prepend=-1))
+        for i, others in zip(x[edges].tolist(), np.split(y, edges[1:]), strict=False):
+            others = others[comp[others] != comp[i]]
+            if not len(others):
+                continue
+            mine = place[begin[i] : begin[i] + size[i]]
+            own[mine] = True
+            both = np.array([np.count_nonzero(own[place[begin[j] : begin[j] + size[j]]]) for j in others.tolist()], np.int64)
+            own[mine] = False
+            linked = others[100 * both >= SIMILAR * (size[i] + size[others] - both)]
+            for j in linked.tolist():
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    found_a.append(min(rep[i], rep[j]))
+                    found_b.append(max(rep[i], rep[j]))
+    return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -181,13 +221,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # 4: what is left in buckets of several components
     labelled = light.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     labelled = written(labelled, "labelled")
-    own = keys.join(labelled.select("rep", "label"), "rep")
-    mixed = own.groupBy("key", "table_no").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "table_no", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rest = keys.join(mixed, ["key", "table_no"]).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rest = rest.select("rep", "key", "table_no", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q")).join(labelled, "rep")
-    more = written(rest.groupBy("key", "table_no", "p", "q").applyInArrow(_blocks, "a long, b long").distinct(), "more")
-    found = written(confirm(more, docs, reps), "links")
+    own = keys.join(labelled, "rep")
+    parts = own.groupBy("key", "table_no", "label").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+    whole = parts.groupBy("key", "table_no").agg(F.max(F.struct("n", "s", "label")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    mixed = whole.where("parts > 1").select("key", "table_no", F.col("main.label").alias("main"), blocks(F.col("main.n"), F.col("main.s")).alias("inner"), blocks(F.col("n") - F.col("main.n"), F.col("s") - F.col("main.s")).alias("outer"))
+    rest = own.join(mixed, ["key", "table_no"])
+    inside, place, most = F.col("label") == F.col("main"), F.xxhash64("rep"), F.col("inner") + F.col("outer") - 1
+    rest = rest.withColumn("block", F.when(inside, F.pmod(place, "inner")).otherwise(F.col("inner") + F.pmod(place, "outer")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.when(inside, F.col("inner")).otherwise(F.lit(0)), most)))
+    rest = rest.select("rep", "key", "table_no", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "label", "n_shingles", "hashes")
+    block = ["key", "table_no", "p", "q"]
+    some = written(rest.groupBy(*block).applyInArrow(_partnered, rest.schema), "some")
+    sets = full_sets(written(some.select("rep").distinct(), "ids"), docs, reps)
+    found = written(some.join(sets, "rep").groupBy(*block).applyInArrow(_joined, "a long, b long").distinct(), "links")
     at = labelled.select("rep", "label")
     joined = found.join(at.withColumnsRenamed({"rep": "a", "label": "la"}), "a").join(at.withColumnsRenamed({"rep": "b", "label": "lb"}), "b").where("la <> lb")
     merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())

@@ -228,3 +228,30 @@ def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
     update_ledger(docs, ledger)
     assert spark.read.parquet(ledger).count() <= n + 1 and n == len(set((t or "") for t in ODD))
     assert json.dumps(n)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_near_in_blocks(spark, monkeypatch, block):
+    """A chain of drifting copies, pairs just below and above the threshold, and one large group of copies."""
+    from sparkglyph.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    draw = np.random.default_rng(5)
+    base, texts = [f"w{k}" for k in range(60)], []
+    for k in range(40):  # drifting
+        base[int(draw.integers(60))] = f"d{k}"
+        texts.append(" ".join(base))
+    for k in range(60):  # the same core, one or two words changed
+        own = [f"v{j}" for j in range(60)]
+        for j in draw.integers(60, size=1 + k % 2):
+            own[int(j)] = f"x{k}"
+        texts.append(" ".join(own))
+    texts += [texts[50]] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets, least = [shingles(t) for t in texts], list(range(len(texts)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if least[i] != least[j] and 100 * len(s & sets[j]) >= 75 * len(s | sets[j]):
+                low, high = sorted((least[i], least[j]))
+                least = [low if x == high else x for x in least]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(docs).collect()} == dict(enumerate(least))
