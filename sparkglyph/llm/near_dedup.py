@@ -37,7 +37,9 @@ SHINGLE, SIMILAR = 5, 75
 BAND, TABLES = 2, 12
 #: Classes of a bucket, and shingles of them, in one block of step 4, and minhashes of HASHES that must agree there and in
 #: step 3 (a pair at 0.75 has 36 on average; fewer than 20 has a probability below 1e-6).
-BLOCK, BLOCK_SHINGLES, AGREE = 2048, 2_000_000, 20
+BLOCK, BLOCK_SHINGLES, AGREE = 2048, 1_000_000, 20
+#: Bytes of text, and pairs of a block, that a worker looks at in one step.
+STEP, PAIRS = 1 << 20, 50_000
 HASHES = 2 * BAND * TABLES
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("bands", pa.list_(pa.int64()))])
@@ -70,7 +72,7 @@ def _digest(members: bytes) -> bytes:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b in text_steps(batch.column("text")):
+        for a, b in text_steps(batch.column("text"), STEP):
             part = batch.slice(a, b - a)
             n, digests, hashes, bands, ends = [], [], [], [], [0]
             for s in shingle_sets(*buffers(part.column("text")), SHINGLE):
@@ -90,7 +92,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("rep", pa.int64()), ("digest", pa.binary()), ("members", pa.binary())])
     for batch in batches:
-        for a, b in text_steps(batch.column("text")):
+        for a, b in text_steps(batch.column("text"), STEP):
             part = batch.slice(a, b - a)
             members = [s.tobytes() for s in shingle_sets(*buffers(part.column("text")), SHINGLE)]
             yield table({"rep": part.column("doc_id"), "digest": [_digest(m) for m in members], "members": members}, schema)
@@ -138,15 +140,15 @@ def _candidates(key: tuple, rows: pa.Table) -> Iterator[tuple[np.ndarray, np.nda
     rep, comp, n, at = (rows.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "block"))
     h = np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint32).reshape(-1, HASHES)
     left, right = np.flatnonzero(at == p), np.flatnonzero(at == q)
-    step = max(1, 1_000_000 // max(1, len(right)))
+    step = max(1, 5 * PAIRS // max(1, len(right)))
     for k in range(0, len(left), step):
         i = left[k : k + step]
         near = (comp[i][:, None] != comp[right][None, :]) & (100 * np.minimum(n[i][:, None], n[right][None, :]) >= SIMILAR * np.maximum(n[i][:, None], n[right][None, :]))
         if p == q:
             near &= rep[i][:, None] < rep[right][None, :]
         u, v = np.nonzero(near)
-        for z in range(0, len(u), 200_000):
-            x, y = i[u[z : z + 200_000]], right[v[z : z + 200_000]]
+        for z in range(0, len(u), PAIRS):
+            x, y = i[u[z : z + PAIRS]], right[v[z : z + PAIRS]]
             same = h[x] == h[y]
             bands = same.reshape(len(x), 2, TABLES, BAND).all(axis=3)
             first = bands[:, 0].argmax(axis=1) * TABLES + bands[:, 1].argmax(axis=1)
