@@ -8,11 +8,10 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-#: Distinct words a worker remembers; beyond, it starts anew.
-REMEMBERED = 250_000
 END = np.array([2], "<u4").tobytes()
 _BEFORE_SPACE = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, WordEncoder] = {}
@@ -27,6 +26,9 @@ def default_tokenizer() -> str:
 class WordEncoder:
     """encode(texts): what `encoded` gives for each word of a text, in a list; concatenated they stand for the whole text."""
 
+    #: Distinct words a worker remembers; beyond, it keeps those that it met again in its latest step.
+    remembered = 1_000_000
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -39,30 +41,37 @@ class WordEncoder:
 
     def encoded(self, parts: list[str]) -> list:
         """Ids of each part as little-endian unsigned 32-bit integers."""
-        found = self.library.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        flat, ends = array("I"), [0]
+        for k in range(0, len(parts), 20_000):
+            for x in self.library.encode_batch_fast(parts[k : k + 20_000], add_special_tokens=False):
+                flat.extend(x.ids)
+                ends.append(4 * len(flat))
+        data = np.asarray(flat, "<u4").tobytes()
+        return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[list]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        if len(self.unclean) > REMEMBERED:
+        if len(self.unclean) > self.remembered:
             self.unclean = {""}
         cut = [t.split(" ") for t in texts]
         new: set[str] = set()
         for parts in cut:
             new.update(parts[1:])
-        new = new.difference(self.known)
-        new.difference_update(self.unclean)
-        odd = {w for w in new if w[0].isspace() or w[-1].isspace()}
+        if len(self.known) > self.remembered:
+            self.known = {w: self.known[w] for w in new.intersection(self.known)}
+        new.difference_update(self.known)
+        unclean = new.intersection(self.unclean)
+        new -= unclean
+        odd = {w for w in new if w.strip() != w}
         self.unclean |= odd
-        fresh = list(new - odd)
+        unclean |= odd
+        fresh = list(new - odd if odd else new)
         self.known.update(zip(fresh, self.encoded([f" {w}" for w in fresh]), strict=True))
         first = list({p[0] for p in cut})
         begins = dict(zip(first, self.encoded(first), strict=True))
         out = []
         for text, parts in zip(texts, cut, strict=True):
             head = parts[0]
-            if len(parts) > 1 and (not head or head[-1].isspace() or not self.unclean.isdisjoint(parts)):
+            if len(parts) > 1 and (not head or head[-1].isspace() or unclean and not unclean.isdisjoint(parts[1:])):
                 out.append(self.encoded(_BEFORE_SPACE.split(text)))
             else:
                 out.append([begins[head], *map(self.known.__getitem__, parts[1:])])

@@ -33,6 +33,8 @@ def byte_letters() -> dict[int, str]:
 class SpeculativeBpe(WordEncoder):
     """A word stands for (number of ids, ids as decimals joined by commas, bytes that the ids decode to)."""
 
+    remembered = 250_000
+
     def __init__(self, path: str):
         super().__init__(path)
         with open(path, encoding="utf-8") as f:
