@@ -2,7 +2,9 @@
 
 Vectors are brought to length 1 and rotated by one random orthogonal matrix, so that any leading dimensions are a random
 sample of all. k-means on at most SAMPLE vectors gives the lists; every vector stands in the list of its nearest centre.
-A query scans the PROBES lists with the nearest centres: a list is held in column blocks of STEP dimensions, and after each
+A query scans as many lists with the nearest centres as this table needs: for at most ASKED of the queries all rows are
+looked at, and so many lists are scanned that AIM of these queries' true neighbours stand in them, up to all lists.
+A list is held in column blocks of STEP dimensions, and after each
 block a candidate goes whose partial squared distance d of n dimensions passes the test d * D / n > t * (1 + EPS / sqrt(n))^2,
 t being the query's K-th best distance so far. Candidates that survive all blocks are scored exactly, as cosine in double
 precision of the original vectors; ties go to the smaller vec_id.
@@ -20,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +30,8 @@ from ._base import table, written
 
 K, STEP, EPS = 5, 8, 2.1
 SAMPLE, LISTS, PART, SEED = 20_000, 4096, 4096, 20240617
+#: Queries that the number of lists is measured on, and the share of their neighbours that it has to reach.
+ASKED, AIM = 256, 0.95
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -37,11 +42,6 @@ def usable(rows: DataFrame) -> DataFrame:
     return rows.where(~odd).where(F.exists("v", lambda x: x != 0))
 
 
-def probes_of(lists: int) -> int:
-    """Lists that a query scans: all of a few, then about 4 times the square root."""
-    return min(lists, 8 + math.ceil(3 * math.sqrt(lists)))
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     """Rows at length 1, safe for very large and very small components."""
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -55,7 +55,7 @@ def fit(sample: np.ndarray, lists: int, rounds: int = 10) -> tuple[np.ndarray, n
     x = sample @ rotation
     centres = x[draw.choice(len(x), min(lists, len(x)), replace=False)]
     for _ in range(rounds):
-        near = (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
+        near = closeness(x, centres).argmax(axis=1)
         n = np.bincount(near, minlength=len(centres))
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
@@ -63,6 +63,47 @@ def fit(sample: np.ndarray, lists: int, rounds: int = 10) -> tuple[np.ndarray, n
     return rotation, centres
 
 
+def closeness(u: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """For each row the closeness to each centre, highest for the nearest."""
+    return u @ centres.T - 0.5 * (centres * centres).sum(axis=1)
+
+
+def probes_of(fits: DataFrame, queries, shared: Broadcast) -> int:
+    """Lists that a query has to scan, from the true neighbours of at most ASKED queries."""
+    asked = fits.where(queries).orderBy(F.xxhash64("vec_id"), "vec_id").limit(ASKED).collect()
+    if not asked:
+        return 1
+    q_ids, q = np.array([r.vec_id for r in asked]), unit(np.array([r.v for r in asked]))
+    rotation, centres = shared.value
+    order = np.argsort(-closeness(q @ rotation, centres), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    schema = pa.schema([("q", pa.int32()), ("score", pa.float64()), ("vec_id", pa.int64()), ("list", pa.int32())])
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rotation, centres = shared.value
+        top, who, where = np.full((len(q), K), -np.inf), np.zeros((len(q), K), np.int64), np.zeros((len(q), K), np.int32)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("vec_id").to_numpy()
+            u = unit(batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1))
+            own = closeness(u @ rotation, centres).argmax(axis=1).astype(np.int32)
+            s = q @ u.T
+            s[q_ids[:, None] == ids] = -np.inf
+            s = np.hstack([top, s])
+            at = np.argpartition(-s, K - 1, axis=1)[:, :K]
+            top = np.take_along_axis(s, at, axis=1)
+            who, where = (np.take_along_axis(np.hstack([old, np.broadcast_to(new, (len(q), len(new)))]), at, axis=1) for old, new in ((who, ids), (where, own)))
+        k, j = np.nonzero(np.isfinite(top))
+        yield table({"q": k, "score": top[k, j], "vec_id": who[k, j], "list": where[k, j]}, schema)
+
+    found = fits.mapInArrow(best, "q int, score double, vec_id long, list int")
+    rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))
+    true = found.withColumn("rank", rank).where(F.col("rank") <= K).select("q", "list").collect()
+    needed = sorted(int(place[r.q, r.list]) for r in true)
+    return needed[math.ceil(AIM * len(needed)) - 1] + 1 if needed else 1
+
+
 def _column(batch: pa.RecordBatch | pa.Table, name: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(name).to_pylist()), kind).reshape(batch.num_rows, -1)
 
@@ -125,8 +166,9 @@ def search(rows: DataFrame, queries, k: int = K) -> DataFrame:
     dims = int(sizes.argmax())
     lists = max(1, min(LISTS, math.isqrt(there)))
     rotation, centres = fit(unit(np.array([v for v in sample if len(v) == dims])), lists)
-    probes = probes_of(len(centres))
     shared = spark.sparkContext.broadcast((rotation, centres))
+    fits = rows.where(F.size("v") == dims)
+    probes = probes_of(fits, queries, shared)
     schema = pa.schema([("vec_id", pa.int64()), ("is_query", pa.bool_()), ("v", pa.binary()), ("u", pa.binary()), ("lists", pa.list_(pa.int32()))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +178,13 @@ def search(rows: DataFrame, queries, k: int = K) -> DataFrame:
                 continue
             v = batch.column("v").flatten().to_numpy().reshape(batch.num_rows, -1)
             u = unit(v) @ rotation
-            near = u @ centres.T - 0.5 * (centres * centres).sum(axis=1)
+            near = closeness(u, centres)
             asks = batch.column("is_query").to_numpy(zero_copy_only=False)
-            own = near.argmax(axis=1)
-            order = np.argsort(-near, axis=1, kind="stable")[:, :probes]
-            lists = [o.tolist() if q else [x] for o, x, q in zip(order, own.tolist(), asks, strict=True)]
+            lists = [[x] for x in near.argmax(axis=1).tolist()]
+            for x, o in zip(np.flatnonzero(asks).tolist(), np.argsort(-near[asks], axis=1, kind="stable")[:, :probes], strict=True):
+                lists[x] = o.tolist()
             yield table({"vec_id": batch.column("vec_id"), "is_query": batch.column("is_query"), "v": [x.tobytes() for x in v], "u": [x.tobytes() for x in u.astype(np.float32)], "lists": lists}, schema)
 
-    fits = rows.where(F.size("v") == dims)
     both = fits.select("vec_id", F.lit(False).alias("is_query"), "v").unionByName(fits.where(queries).select("vec_id", F.lit(True).alias("is_query"), "v"))
     placed = written(both.mapInArrow(place, "vec_id long, is_query boolean, v binary, u binary, lists array<int>"), "placed")
     spread = placed.select("vec_id", "is_query", "v", "u", F.explode("lists").alias("list"))

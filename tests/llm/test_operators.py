@@ -213,6 +213,26 @@ def test_nearest(spark):
     assert hits >= 0.9 * total
 
 
+def test_nearest_where_lists_are_left_out(spark, monkeypatch, tmp_path):
+    """Recall on vectors without any direction, where fewer lists are scanned than there are."""
+    from sparkglyph.llm import nearest
+
+    probes, measure = [], nearest.probes_of
+    monkeypatch.setattr(nearest, "probes_of", lambda *a: probes.append(measure(*a)) or probes[-1])
+    v = np.random.default_rng(3).normal(size=(20_000, 64))
+    pq.write_table(pa.table({"vec_id": np.arange(len(v)), "embedding": list(v)}), f"{tmp_path}/embeddings.parquet")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    got = defaultdict(set)
+    for r in run(spark, "op9_nearest", str(tmp_path)):
+        got[r["query_id"]].add(r["vec_id"])
+    asked = np.arange(0, len(v), 50)
+    s = u[asked] @ u.T
+    s[np.arange(len(asked)), asked] = -9
+    hits = sum(len(got[q] & set(np.argsort(-x)[:5].tolist())) for q, x in zip(asked.tolist(), s, strict=True))
+    assert hits >= 0.9 * 5 * len(asked), (probes, hits / (5 * len(asked)))
+    assert probes[0] < 141
+
+
 @pytest.mark.parametrize("name", [n for n in queries.QUERIES if n != "op9_nearest"])
 def test_empty(spark, odd, tmp_path, name):
     for t in ("documents", "labels"):
