@@ -4,7 +4,9 @@ A line's tokens (runs without white space) that hold a digit become the field <*
 of tokens, then the DEPTH leading ones. In a leaf the line that most documents share is the model; lines that agree with it
 in ALIKE percent of their places belong to its template, whose other places are fields too, and the rest are templates of
 their own. A template that LEAST documents of different content share is recurring: its lines stay in the first document
-(smallest doc_id, then place) and go from all others. Lines of fewer than SHORT tokens always stay.
+(smallest doc_id, then place) and go from all others. A line of LONG tokens or more is recurring from 2 documents of
+different content on, whatever its template. Lines of fewer than SHORT tokens have no fields and are recurring when OFTEN
+documents of different content hold the very same tokens; lines without tokens always stay.
 
 Everything is DataFrame operations; no Python runs on executors.
 
@@ -21,18 +23,24 @@ from ._base import BROADCAST_ROWS, documents, matching, written
 from .exact_dedup import located
 
 DEPTH, SHORT, LEAST, ALIKE = 3, 4, 5, 70
-_FIELD = "[^ \t\n\x0b\x0c\r]*[0-9][^ \t\n\x0b\x0c\r]*"
+LONG, OFTEN = 20, 20
 
 
 def _lines(rows: DataFrame) -> DataFrame:
     """(id, file, row, doc, no, tokens, leaf) of the lines that may go. doc: digest of the content."""
-    masked = F.regexp_replace("text", _FIELD, "<*>")
-    lines = rows.select("id", "file", "row", F.xxhash64("text").alias("doc"), F.posexplode(F.split(masked, "\n")).alias("no", "line"))
+    lines = rows.select("id", "file", "row", F.xxhash64("text").alias("doc"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
     tokens = F.filter(F.split("line", "[ \t\x0b\x0c\r]+"), lambda t: t != "")
-    lines = lines.select("id", "file", "row", "doc", "no", tokens.alias("tokens")).where(F.size("tokens") >= SHORT)
+    lines = lines.select("id", "file", "row", "doc", "no", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    masked = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), "<*>").otherwise(t))
+    lines = lines.withColumn("tokens", F.when(F.size("tokens") >= SHORT, masked).otherwise(F.col("tokens")))
     return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
 
 
+def _enough(n: Column, least: int) -> Column:
+    """Documents that lines of n tokens need at least."""
+    return F.when(n < SHORT, max(OFTEN, least)).when(n >= LONG, min(2, least)).otherwise(least)
+
+
 def _alike(a: Column, b: Column) -> Column:
     same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda x: x))
     return 100 * same >= ALIKE * F.size(a)
@@ -43,7 +51,8 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = located(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     # leaves with too few lines hold no recurring template
-    leaves = written(_lines(rows).groupBy("leaf").count().where(F.col("count") >= least).select("leaf"), "leaves")
+    leaves = _lines(rows).groupBy("leaf").agg(F.count("*").alias("n"), F.min(F.size("tokens")).alias("size"))
+    leaves = written(leaves.where(F.col("n") >= _enough(F.col("size"), least)).select("leaf"), "leaves")
     lines = written(matching(_lines(rows), leaves, "leaf").withColumn("line", F.array_join("tokens", " ")).drop("tokens"), "lines")
     shared = lines.groupBy("leaf", "line", "doc").count().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     shared = written(shared, "shared")
@@ -56,7 +65,10 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     merged = judged.join(several.where("n > 1").select("leaf", "template"), ["leaf", "template"], "left_semi")
     counted = lines.select("leaf", "line", "doc").distinct().join(merged.select("leaf", "line", "template"), ["leaf", "line"]).select("leaf", "template", "doc").distinct()
     recurring = counted.groupBy("leaf", "template").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("leaf", "template").union(several.where("n = 1").select("leaf", "template"))
-    going = written(judged.join(recurring, ["leaf", "template"], "left_semi").select("leaf", "line", "template"), "recurring")
+    size = F.size(F.split("line", " "))
+    by_template = judged.where(size >= SHORT).join(recurring, ["leaf", "template"], "left_semi").select("leaf", "line", "template")
+    by_line = judged.where(((size < SHORT) | (size >= LONG)) & (F.col("docs") >= _enough(size, least))).join(recurring.where(F.size(F.split("template", " ")) >= SHORT), ["leaf", "template"], "left_anti")
+    going = written(by_template.union(by_line.select("leaf", "line", F.col("line").alias("template"))), "recurring")
     hits = written(lines.join(going, ["leaf", "line"]).select("leaf", "template", "id", "file", "row", "no"), "hits")
     order = F.struct(F.col("id").isNull(), "id", "file", "row")
     first = hits.groupBy("leaf", "template").agg(F.min(order).alias("first"))

@@ -174,6 +174,26 @@ def test_lines_and_oracles(spark):
             assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in names)) for r in run(spark, name, SF)), name
 
 
+def dropped(spark, tmp_path, texts):
+    """(texts after line dedup, lines dropped), by place."""
+    from sparkglyph.llm.line_dedup import drop_recurring_lines
+
+    path = str(tmp_path / "lines.parquet")
+    pq.write_table(pa.table({"doc_id": list(range(len(texts))), "text": texts}), path)
+    got = sorted((r.doc_id, r.text, r.n_dropped) for r in drop_recurring_lines(spark.read.parquet(path)).collect())
+    return [t for _, t, _ in got], [n for *_, n in got]
+
+
+def test_long_and_short_lines(spark, tmp_path):
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(55))
+    texts = [f"zero\n{passage}", f"{passage}\none"]
+    texts += [f"own{k}\nAll rights reserved.\n\nPage {k}" + "\nSeen seldom" * (k < 4) for k in range(25)]
+    left, n = dropped(spark, tmp_path, texts)
+    assert left[:2] == [texts[0], "one"]
+    assert left[2] == texts[2] and all(t == x.replace("All rights reserved.\n", "") for t, x in zip(left[3:], texts[3:], strict=True))
+    assert n == [0, 1, 0] + [1] * 24
+
+
 def test_language(spark, odd):
     lang = dict(zip(*(pq.read_table(f"{SF}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
     got = run(spark, "op8_language_id", SF)
