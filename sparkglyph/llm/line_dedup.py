@@ -2,8 +2,8 @@
 
 A line's tokens (runs without white space) that hold a digit become the field <*>. The tree has a fixed depth: the number
 of tokens, then the DEPTH leading ones. In a leaf the line that most documents share is the model; lines that agree with it
-in ALIKE percent of their places belong to its template, whose other places are fields too, and the rest are templates of
-their own. A template that LEAST documents of different content share is recurring: its lines stay in the first document
+in ALIKE percent of their places after the leading ones belong to its template, whose other places are fields too. Of the
+lines left over the most shared one is the next model, and so on until none is left. A template that LEAST documents of different content share is recurring: its lines stay in the first document
 (smallest doc_id, then place) and go from all others. A line of LONG tokens or more is recurring from 2 documents of
 different content on, whatever its template. Lines of fewer than SHORT tokens have no fields and are recurring when OFTEN
 documents of different content hold the very same tokens; lines without tokens always stay.
@@ -46,6 +46,23 @@ def _alike(a: Column, b: Column) -> Column:
     return 100 * same >= ALIKE * F.size(a)
 
 
+def _judged(shared: DataFrame, least: int) -> DataFrame:
+    """(leaf, line, docs, template) from (leaf, line, docs). Leaves of one line, of short lines and of too few documents have
+    no common template that could be recurring."""
+    words = F.split("line", " ")
+    sizes = shared.groupBy("leaf").agg(F.count("*").alias("n"), F.sum("docs").alias("most"), F.min(F.size(words)).alias("size"))
+    mixed = written(sizes.where((F.col("n") > 1) & (F.col("most") >= least) & (F.col("size") >= SHORT)).select("leaf"), "mixed")
+    few = mixed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    mixed = F.broadcast(mixed) if few else mixed
+    alone = shared.join(mixed, "leaf", "left_anti").select("leaf", "line", "docs", F.col("line").alias("template"))
+    tail = F.slice(words, F.lit(DEPTH + 1), F.size(words))
+    each = shared.join(mixed, "leaf", "left_semi").groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("docs", "line", tail.alias("tail"))), asc=False).alias("each"))
+    none = F.filter("each", lambda x: F.lit(False))
+    models = F.aggregate("each", none, lambda found, x: F.when(F.exists(found, lambda m: _alike(x["tail"], m["tail"])), found).otherwise(F.concat(found, F.array(x))))
+    own = F.transform("each", lambda x: F.struct(x["line"].alias("line"), x["docs"].alias("docs"), F.filter("models", lambda m: _alike(x["tail"], m["tail"]))[0]["line"].alias("template")))
+    return alone.union(each.withColumn("models", models).select("leaf", F.inline(own)).select("leaf", "line", "docs", "template"))
+
+
 def drop_recurring_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped) for each row of docs (doc_id, text)."""
     docs = located(docs)
@@ -56,10 +73,7 @@ def drop_recurring_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     lines = written(matching(_lines(rows), leaves, "leaf").withColumn("line", F.array_join("tokens", " ")).drop("tokens"), "lines")
     shared = lines.groupBy("leaf", "line", "doc").count().groupBy("leaf", "line").agg(F.count("*").alias("docs"))
     shared = written(shared, "shared")
-    model = shared.groupBy("leaf").agg(F.max(F.struct("docs", "line")).alias("top"), F.count("*").alias("n"))
-    judged = shared.join(model, "leaf")
-    template = F.when(_alike(F.split("line", " "), F.split("top.line", " ")), F.col("top.line")).otherwise(F.col("line"))
-    judged = written(judged.select("leaf", "line", "docs", template.alias("template")), "judged")
+    judged = written(_judged(shared, least), "judged")
     # templates of one line have its count already; of several, documents are counted anew
     several = judged.groupBy("leaf", "template").agg(F.count("*").alias("n"), F.sum("docs").alias("most")).where(F.col("most") >= least)
     merged = judged.join(several.where("n > 1").select("leaf", "template"), ["leaf", "template"], "left_semi")

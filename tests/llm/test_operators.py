@@ -194,6 +194,17 @@ def test_long_and_short_lines(spark, tmp_path):
     assert n == [0, 1, 0] + [1] * 24
 
 
+def test_several_templates_of_a_leaf(spark, tmp_path):
+    """Two log templates with the same leading tokens, and lines that differ in their one word after these."""
+    names = "ann bob cid dan eve fay".split()
+    towns = "Paris London Rome Oslo Bern Prague".split()
+    logs = [(f"job on host {x} has now ended without error", f"job on host was closed early by {x} today") for x in names]
+    texts = [f"own{x}\n{a}\n{b}\nI went to {t}" for x, t, (a, b) in zip(names, towns, logs, strict=True)]
+    left, n = dropped(spark, tmp_path, texts)
+    assert left == [texts[0], *(f"own{x}\nI went to {t}" for x, t in zip(names[1:], towns[1:], strict=True))]
+    assert n == [0] + [2] * 5
+
+
 def test_language(spark, odd):
     lang = dict(zip(*(pq.read_table(f"{SF}/documents.parquet").column(c).to_pylist() for c in ("doc_id", "lang")), strict=True))
     got = run(spark, "op8_language_id", SF)
