@@ -46,13 +46,26 @@ def _candidates(seen: DataFrame, totals: DataFrame, lower: DataFrame) -> DataFra
     return own.unionByName(more).groupBy("ctx", "w").agg(F.max("count").alias("count"), F.max("low").alias("low"))
 
 
-def kn_trigrams(counts: DataFrame, d: float = DISCOUNT, least: int = LEAST, k: int | None = FOLLOWERS) -> DataFrame:
+def _reachable(seen: DataFrame, totals: DataFrame, lower: DataFrame, listed: int) -> DataFrame:
+    """_candidates of the whole `lower`, without those that can't be among the `listed` best of their context: unseen
+    followers go by `low` there, and at most distinct_n of the best ones are seen."""
+    short = totals.select("ctx", F.regexp_replace("ctx", "^[^ ]* ", "").alias("short"), "distinct_n")
+    low = lower.select(F.col("ctx").alias("short"), "w", F.col("raw").alias("low"))
+    own = seen.join(short, "ctx").join(low, ["short", "w"], "left").select("ctx", "w", "count", "low")
+    place = F.row_number().over(Window.partitionBy("short").orderBy(F.desc("low"), "w"))
+    more = short.join(low.withColumn("place", place), "short").where(F.col("place") <= listed + F.col("distinct_n"))
+    return own.unionByName(more.select("ctx", "w", F.lit(0).cast("long").alias("count"), "low")).groupBy("ctx", "w").agg(F.max("count").alias("count"), F.max("low").alias("low"))
+
+
+def kn_trigrams(counts: DataFrame, d: float = DISCOUNT, least: int = LEAST, k: int | None = FOLLOWERS, listed: int | None = None) -> DataFrame:
     """Observed followers and those of the bigram backoff, which keeps its best `k` only (None: all of them); a follower
-    that isn't listed there is backed off to its continuation probability."""
+    that isn't listed there is backed off to its continuation probability. listed: only so many of a context's best
+    followers are asked for."""
     bi, tri = of_order(counts, 2), of_order(counts, 3)
     totals = context_totals(tri).where(F.col("total") >= least)
     lower = kn_bigrams(counts, d)
-    found = _candidates(tri, totals, lower if k is None else top_rows(lower, k))
+    lower = lower if k is None else top_rows(lower, k)
+    found = _candidates(tri, totals, lower) if listed is None else _reachable(tri, totals, lower, listed)
     rows = found.join(totals, "ctx").join(continuation(bi), "w", "left")
     return _kn(rows, F.coalesce("low", "p", F.lit(0.0)), d).select("ctx", "w", "raw", F.col("total").alias("support"))
 

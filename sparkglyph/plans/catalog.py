@@ -100,7 +100,7 @@ def kn_trigram_topk(spark, sf_dir):
 
 @query
 def kn_trigram_unpruned(spark, sf_dir):
-    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3)), least=10, k=None))
+    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3)), least=1, k=None, listed=S.FOLLOWERS))
 
 
 @query

@@ -52,3 +52,41 @@ def test_textbook_discounts_are_lower(spark):
     counts = spark.createDataFrame([(2, "c", f"w{i}-{r}", r) for r, n in ((1, 100), (2, 40), (3, 20), (4, 12), (5, 8), (6, 5)) for i in range(n)], "n int, ctx string, w string, count long")
     plain, book = ({r.r: r.d for r in katz_discounts(counts, textbook=t).collect()} for t in (False, True))
     assert all(book[r] < plain[r] <= 1 for r in book)
+
+
+def test_unpruned_trigrams_by_brute_force(spark, tmp_path):
+    """Every observed context has its list, from its own followers and all of the bigram backoff."""
+    from collections import Counter, defaultdict
+
+    import numpy as np
+
+    draw = np.random.default_rng(7)
+    words = [a + b for a in "abcdefg" for b in "uvwxyz"]
+    lines = [[words[int(x)] for x in draw.zipf(1.4, 9) % len(words)] for _ in range(300)]
+    pd.DataFrame({"text": [" ".join(x) for x in lines]}).to_parquet(f"{tmp_path}/documents.parquet")
+    bi, tri = Counter(), Counter()
+    for x in lines:
+        bi.update(zip(x, x[1:], strict=False))
+        tri.update(zip(x, x[1:], x[2:], strict=False))
+    pairs, after, follows = Counter(w for _, w in bi), defaultdict(dict), defaultdict(dict)
+    for (a, w), n in bi.items():
+        after[a][w] = n
+    for (a, b, w), n in tri.items():
+        follows[a, b][w] = n
+
+    def scored(own, low):
+        total = sum(own.values())
+        return {w: max(own.get(w, 0) - 0.75, 0) / total + 0.75 * len(own) / total * low.get(w, 0) for w in own.keys() | low.keys()}
+
+    low = {a: {w: x for w, x in scored(own, {w: pairs[w] / len(bi) for w in own}).items()} for a, own in after.items()}
+    want = {}
+    for (a, b), own in follows.items():
+        raw = sorted(scored(own, low[b]).values(), reverse=True)[:10]
+        want[f"{a} {b}"] = [x / raw[0] for x in raw]
+    got = defaultdict(list)
+    for r in catalog.QUERIES["kn_trigram_unpruned"](spark, str(tmp_path)).orderBy("ctx", "rank").collect():
+        got[r.ctx].append(r.score)
+        own, (a, b) = follows[tuple(r.ctx.split())], r.ctx.split()
+        assert r.support == sum(own.values()) and r.w in after[b]
+    assert got.keys() == want.keys() and min(map(lambda x: sum(x.values()), follows.values())) < 10
+    assert all(got[c] == pytest.approx(want[c], abs=1e-4) for c in want)
