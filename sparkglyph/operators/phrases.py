@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from sparkglyph.functions.text import raw_words
 
+#: Phrases that count as few enough to broadcast.
+FEW = 100_000
+
 
 def candidates(rows: DataFrame, few: int = 3, many: int = 5) -> DataFrame:
     """(phrase, at): distinct lower-cased phrases of `few` to `many` words of letters and apostrophes, by first id."""
@@ -15,20 +18,27 @@ def candidates(rows: DataFrame, few: int = 3, many: int = 5) -> DataFrame:
     return kept.groupBy(F.lower(F.array_join("t", " ")).alias("phrase")).agg(F.min("item_id").alias("at"))
 
 
-def windows(lines: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
-    """(phrase): every run of words of these sizes, lower-cased, punctuation kept."""
+def runs(t: Column, sizes: tuple[int, ...] = (3, 4, 5)) -> Column:
+    """Every run of these sizes of the words t, joined by blanks."""
 
+    def of(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))
+        return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<string>"))
 
-    def runs(n: int) -> Column:
-        made = F.transform(F.sequence(F.lit(1), F.size("t") - (n - 1)), lambda i: F.array_join(F.slice("t", i, n), " "))
-        return F.when(F.size("t") >= n, made).otherwise(F.array().cast("array<string>"))
+    return F.concat(*map(of, sizes))
 
-    return lines.select(F.transform(raw_words(F.col("line")), F.lower).alias("t")).select(F.explode(F.concat(*map(runs, sizes))).alias("phrase"))
+
+def windows(lines: DataFrame, sizes: tuple[int, ...] = (3, 4, 5)) -> DataFrame:
+    """(phrase): every run of words of these sizes, lower-cased, punctuation kept."""
+    return lines.select(F.transform(raw_words(F.col("line")), F.lower).alias("t")).select(F.explode(runs(F.col("t"), sizes)).alias("phrase"))
 
 
 def phrase_counts(lines: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(phrase, count) of phrases that occur; windows meet them by hash before anything is counted."""
-    return windows(lines).join(phrases.select("phrase"), "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("count"))
+    """(phrase, count) of phrases that occur; windows meet them by hash before anything is counted, where up to FEW phrases
+    are broadcast."""
+    phrases = phrases.select("phrase")
+    few = phrases.limit(FEW + 1).count() <= FEW
+    return windows(lines).join(F.broadcast(phrases) if few else phrases, "phrase", "left_semi").groupBy("phrase").agg(F.count("*").alias("count"))
 
 
 def all_common(phrases: DataFrame, words: DataFrame) -> DataFrame:

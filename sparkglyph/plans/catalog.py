@@ -215,8 +215,8 @@ def sentence_split(spark, sf_dir):
 
 
 def _phrases(spark, sf_dir):
-    lines = read(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(T.raw_words(F.col("text")), 2, 3), " ").alias("text"))
-    return P.candidates(lines)
+    words = read(spark, sf_dir, "benchmark").select("item_id", T.raw_words(F.col("text")).alias("t"))
+    return P.candidates(words.select("item_id", F.explode(P.runs(F.col("t"))).alias("text")))
 
 
 @query

@@ -90,3 +90,21 @@ def test_unpruned_trigrams_by_brute_force(spark, tmp_path):
         assert r.support == sum(own.values()) and r.w in after[b]
     assert got.keys() == want.keys() and min(map(lambda x: sum(x.values()), follows.values())) < 10
     assert all(got[c] == pytest.approx(want[c], abs=1e-4) for c in want)
+
+
+def test_phrases_from_whole_texts(spark, tmp_path):
+    items = ["One two three four five six", "a b", "it's two Three four 5 six seven eight", "zz one two three"]
+    pd.DataFrame({"item_id": range(len(items)), "text": items}).to_parquet(f"{tmp_path}/benchmark.parquet")
+    pd.DataFrame({"text": ["say one two three four now", "six seven eight"]}).to_parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, text in enumerate(items):
+        t = text.lower().split()
+        for n in (3, 4, 5):
+            for i in range(len(t) - n + 1):
+                if "5" not in t[i : i + n]:
+                    want.setdefault(" ".join(t[i : i + n]), k)
+    assert {r.phrase: r["at"] for r in catalog.QUERIES["phrase_candidates"](spark, str(tmp_path)).collect()} == want
+    counts = {r.phrase: r["count"] for r in catalog.QUERIES["phrase_counts"](spark, str(tmp_path)).collect()}
+    assert counts == dict.fromkeys(["one two three", "two three four", "one two three four", "six seven eight"], 1)
+    common = {r.phrase for r in catalog.QUERIES["phrase_all_common"](spark, str(tmp_path)).collect()}
+    assert common == {p for p in want if set(p.split()) <= set("say one two three four now six seven eight".split())}
