@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import documents, id_text, table, text_steps, texts, written
-from ._tokens import default_tokenizer, token_bytes
+from ._base import documents, id_text, table, text_steps, written
+from ._tokens import STEP, default_tokenizer, ended_ids
 
 CAPACITY = 1024
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -101,16 +101,17 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in text_steps(batch.column("text")):
-                rows: dict[str, list] = {f.name: [] for f in _PIECES}
-                for doc_id, ids in zip(batch.column("doc_id")[a:b].to_pylist(), token_bytes(tokenizer, texts(batch.column("text")[a:b])), strict=True):
-                    n = len(ids) // 4
-                    at, length = 0, (n - 1) % capacity + 1
-                    for piece in range(-(-n // capacity)):
-                        for name, value in (("doc_id", doc_id), ("piece", piece), ("start", at), ("length", length), ("ids_crc32", zlib.crc32(ids[4 * at : 4 * (at + length)]))):
-                            rows[name].append(value)
-                        at, length = at + length, capacity
-                yield table(rows, _PIECES)
+            for a, b in text_steps(batch.column("text"), STEP):
+                ids, at = ended_ids(tokenizer, batch.column("text")[a:b])
+                n = np.diff(at)
+                many, head = -(-n // capacity), (n - 1) % capacity + 1
+                of = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+                start = np.where(piece == 0, 0, head[of] + (piece - 1) * capacity)
+                length = np.where(piece == 0, head[of], capacity)
+                view, first = memoryview(ids.astype("<u4").view(np.uint8)), 4 * (at[of] + start)
+                crc = [zlib.crc32(view[x:y]) for x, y in zip(first.tolist(), (first + 4 * length).tolist(), strict=True)]
+                yield table({"doc_id": batch.column("doc_id")[a:b].take(pa.array(of)), "piece": piece, "start": start, "length": length, "ids_crc32": crc}, _PIECES)
 
     return id_text(docs).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
