@@ -319,10 +319,3 @@ def ended_ids(path: str, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Ids of each text, then id 2: all of them, and where each text's begin (one entry more than texts)."""
     ids, at = encoder(path).encode(col)
     return np.insert(ids, at[1:], np.uint32(END)), at + np.arange(len(at))
-
-
-def token_bytes(path: str, texts: list[str]) -> list[bytes]:
-    """Ids of each text, then id 2, as little-endian unsigned 32-bit integers."""
-    ids, at = ended_ids(path, pa.array(texts, pa.large_string()))
-    data, ends = ids.astype("<u4").tobytes(), (4 * at).tolist()
-    return [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]

@@ -1,113 +1,193 @@
-"""Token ids in binary files, each shard compressed by Re-Pair.
-
-Re-Pair replaces frequent pairs of neighbouring ids by nonterminals, again and again. A round here replaces all frequent
-pairs at once whose occurrences can't overlap: every id is taken either as a left or as a right half in a round. Rules
-hold two symbols each; the file also has the expansion length of every rule and the id offset of every STRIDE-th symbol,
-so that any document is decoded without what stands before it.
-
-A file is a row of shards, little endian:
-  header   8s magic, then u32: documents, rules, symbols, bytes a symbol; u64: ids, id offset of the shard in its part
+"""Token ids in files of binary shards, each shard compressed by Re-Pair.
+
+Re-Pair replaces frequent pairs of neighbouring ids by nonterminals until no pair stands LEAST times without overlap. A
+round here replaces many pairs at once: a place is taken if its pair is more frequent than those of the places before and
+after it (of a run of one symbol every second place counts), and a pair becomes a rule if LEAST such places are left.
+While much changes, pairs are counted in hash slots, the last one of a slot standing for it, with another hash each round;
+then exactly, and only where a neighbour has changed or a frequent pair is left. Rules hold two symbols each; a shard also
+has the expansion length of every rule and the id offset of every STRIDE-th symbol, so that any document is decoded without
+what stands before it.
+
+A file is Parquet with one row a shard (part, shard, documents, ids, start, data), written by Spark, so on any file system
+Spark knows, and whole or absent if executors are lost. `data` is little endian:
+  header   8s magic, then u32: first nonterminal, documents, rules, symbols, bytes a symbol; u64: ids, id offset in the part
   i64[documents] doc_id; u8[documents] whether it is there; u64[documents + 1] offset of each document in the shard
-  u32[rules, 2] rules (symbol FIRST + k stands for rule k); u32[rules] their expansion lengths
+  u32[rules, 2] rules (symbol first + k stands for rule k); u32[rules] their expansion lengths
   u64[symbols / STRIDE, rounded up] id offsets; the symbols
-Parts are ranges of ascending doc_id (a null doc_id comes first); equal doc_ids stay in one part.
+Parts are ranges of ascending doc_id (a null doc_id comes first), and of the text's hash where doc_ids are equal.
+
+Defined cases: null text is empty and holds its end id only; repeated rows are held each; a null doc_id comes back as null;
+an empty table gives no shard. Extra columns are ignored. A text of any length is one document of one shard.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
-from itertools import accumulate
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import documents, id_text, table, text_steps, texts, work_path, written
-from ._tokens import default_tokenizer, token_bytes
+from ._base import documents, id_text, table, text_steps, work_path
+from ._tokens import END, STEP, default_tokenizer, encoder, ended_ids, spread
 
-MAGIC = b"REPAIR01"
-FIRST = 50_257
-SHARD_IDS, FILE_IDS = 1 << 18, 1 << 24
-ROUNDS, LEAST, STRIDE = 6, 12, 1024
-_HEAD = struct.Struct("<8sIIIIQQ")
+MAGIC = b"REPAIR02"
+SHARD_IDS = 1 << 18
+LEAST, STRIDE = 12, 1024
+#: Bytes of shards that the Parquet writer gathers before it writes them, as a row group that is read as one.
+GROUP = 8 << 20
+_HEAD = struct.Struct("<8sIIIIIQQ")
 _SLOT_BITS = 17
-
-
-def _merge(seq: np.ndarray, at: np.ndarray, symbols: np.ndarray) -> np.ndarray:
-    """seq with the pairs at `at` (no two adjacent) replaced by `symbols`."""
-    seq[at] = symbols
-    keep = np.ones(len(seq), bool)
-    keep[at + 1] = False
-    return seq[keep]
-
-
-def repair(ids: np.ndarray, first: int = FIRST, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): ids after at most `rounds` rounds; a pair counts as frequent from `least` occurrences."""
-    seq, rules = ids.astype(np.uint32), []
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        before = len(seq)
-        left, right = seq[:-1], seq[1:]
-        same = left == right
-        if same.any():  # runs of one symbol: every second place of a run
-            edge = np.flatnonzero(np.diff(same, prepend=False) & same)
-            place = np.flatnonzero(same)
-            place = place[(place - edge[np.searchsorted(edge, place, "right") - 1]) % 2 == 0]
-            value, n = np.unique(seq[place], return_counts=True)
-            value = value[n >= least]
-            if len(value):
-                k = np.searchsorted(value, seq[place])
-                ok = (k < len(value)) & (value[np.minimum(k, len(value) - 1)] == seq[place])
-                rules_at = first + sum(map(len, rules))
-                rules.append(np.stack([value, value], axis=1))
-                seq = _merge(seq, place[ok], (rules_at + k[ok]).astype(np.uint32))
-                left, right = seq[:-1], seq[1:]
-        key = left.astype(np.uint64) << np.uint64(32) | right
-        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOT_BITS)).astype(np.int32)
-        sample = np.zeros(1 << _SLOT_BITS, np.uint64)
-        sample[slot] = key  # one pair stands for each slot; what else falls there waits for a later round
-        mine = (sample[slot] == key) & (left != right)
-        n = np.bincount(slot[mine], minlength=1 << _SLOT_BITS)
-        often = np.flatnonzero(n >= least)
+_DDL = "part int, shard int, documents long, ids long, start long, data binary"
+
+
+def _seconds(places: np.ndarray, joined: np.ndarray) -> np.ndarray:
+    """Of places, every second one of each run; joined says which ones go on from the one before."""
+    begin = np.flatnonzero(~joined)
+    return places[(np.arange(len(places)) - np.repeat(begin, np.diff(begin, append=len(places)))) & 1 == 1]
+
+
+def _rules(made: np.ndarray, bits: int) -> np.ndarray:
+    return np.stack([made >> made.dtype.type(bits), made & made.dtype.type((1 << bits) - 1)], axis=1).astype(np.uint32)
+
+
+def _slotted_round(seq: np.ndarray, size: int, least: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places to replace, their new symbols, pairs as symbol << 16 | symbol, which places can't hold a frequent pair)."""
+    key = seq[:-1] << np.uint32(16)
+    key |= seq[1:]
+    slot = key * np.uint32(salt)
+    slot >>= np.uint32(32 - _SLOT_BITS)
+    slot = slot.astype(np.intp)
+    stands = np.empty(1 << _SLOT_BITS, np.uint32)
+    stands[slot] = key
+    n = np.bincount(slot, minlength=1 << _SLOT_BITS)
+    often = np.flatnonzero(n >= least)
+    often = often[np.argsort(-n[often], kind="stable")]
+    none = len(often)
+    by_slot = np.full(1 << _SLOT_BITS, none, np.int32)
+    by_slot[often] = np.arange(none, dtype=np.int32)
+    rank = np.empty(len(seq) + 1, np.int32)
+    rank[0] = rank[-1] = none
+    rank[1:-1] = by_slot.take(slot)
+    twin = np.flatnonzero(seq[:-1] == seq[1:])
+    if len(twin):
+        rank[_seconds(twin, np.diff(twin, prepend=-2) == 1) + 1] = none
+    best = rank[1:-1] < rank[:-2]
+    best &= rank[1:-1] < rank[2:]
+    at = np.flatnonzero(best)
+    of = rank[1:-1].take(at)
+    own = key.take(at) == stands.take(often).take(of)  # and not another pair of the slot
+    at, of = at[own], of[own]
+    good = np.bincount(of, minlength=none) >= least
+    own = good.take(of)
+    at, of = at[own], of[own]
+    symbols = (np.cumsum(good) - 1 + size).astype(np.uint32).take(of)
+    mine = stands.take(slot) == key
+    mine &= (np.bincount(slot[mine], minlength=1 << _SLOT_BITS) < least).take(slot)
+    return at, symbols, stands[often[good]], mine
+
+
+def _linked_rounds(seq: np.ndarray, size: int, least: int, open_: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(symbols, rules) after rounds over linked symbols; only the places in open_ (ascending) may hold a frequent pair."""
+    n, rules = len(seq), []
+    seq = np.append(seq, np.uint32(0))
+    after, before, there = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32), np.ones(n + 1, bool)
+    none = np.iinfo(np.int32).max
+    rank = np.full(n + 2, none, np.int32)
+    while len(open_):
+        then = after.take(open_)
+        if then[-1] >= n:
+            open_, then = open_[:-1], then[:-1]
+        x, y = seq.take(open_), seq.take(then)
+        same = np.flatnonzero(x == y)
+        twin, at = open_[same], open_
+        if len(same):
+            use = np.ones(len(open_), bool)
+            use[_seconds(same, np.concatenate([[False], then[same[:-1]] == twin[1:]]))] = False
+            at, x, y = at[use], x[use], y[use]
+        key = x.astype(np.uint64) << np.uint64(32)
+        key |= y
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else order
+        count = np.diff(begin, append=len(key))
+        often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        x, y = sample[often] >> np.uint64(32), sample[often] & np.uint64(0xFFFFFFFF)
-        top = int(max(x.max(), y.max())) + 1
-        as_left, as_right = np.bincount(x.astype(np.int64), n[often], top), np.bincount(y.astype(np.int64), n[often], top)
-        is_left = as_left >= as_right
-        ok = is_left[x.astype(np.int64)] & ~is_left[y.astype(np.int64)]
-        often = often[ok]
-        if not len(often):
-            break
-        number = np.full(1 << _SLOT_BITS, -1, np.int64)
-        number[often] = first + sum(map(len, rules)) + np.arange(len(often))
-        rules.append(np.stack([x[ok], y[ok]], axis=1).astype(np.uint32))
-        at = np.flatnonzero(mine & (number[slot] >= 0))
-        seq = _merge(seq, at, number[slot[at]].astype(np.uint32))
-        if before - len(seq) < before // 100:
-            break
-    return seq, np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
-
-
-def expand(symbols: np.ndarray, rules: np.ndarray, first: int = FIRST) -> np.ndarray:
-    """The ids that symbols stand for."""
-    seq = symbols.astype(np.uint32)
-    while (inner := seq >= first).any():
-        ends = np.cumsum(1 + inner)
-        out = np.empty(ends[-1], np.uint32)
-        out[ends[~inner] - 1] = seq[~inner]
+        often = often[np.argsort(-count[often], kind="stable")]
+        at = at[spread(order, begin[often], count[often])]
+        ranks = np.repeat(np.arange(len(often), dtype=np.int32), count[often])
+        rank[at] = ranks
+        best = (ranks < rank[before[at]]) & (ranks < rank[after[at]])
+        rank[at] = none
+        left, of = at[best], ranks[best]
+        good = np.bincount(of, minlength=len(often)) >= least
+        own = good[of]
+        left, of = left[own], of[own]
+        rules.append(_rules(key[begin[often[good]]], 32))
+        seq[left] = (np.cumsum(good) - 1 + size)[of]
+        size += int(good.sum())
+        right = after[left]
+        there[right] = False
+        after[left] = end = after[right]
+        before[end] = left
+        open_ = np.unique(np.concatenate([left, before[left], at, twin]))
+        open_ = open_[there[open_] & (open_ >= 0)]
+    return seq[:n][there[:n]], rules
+
+
+def repair(ids: np.ndarray, first: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules): nonterminals count from `first`, and no pair is left that stands `least` times without overlap."""
+    there = np.zeros(first, bool)
+    there[ids] = True
+    own = np.flatnonzero(there).astype(np.uint32)
+    number = np.zeros(first, np.uint32)
+    number[own] = np.arange(len(own), dtype=np.uint32)
+    seq, size, rules, salt = number.take(ids), len(own), [], 0x9E3779B1
+    open_ = None
+    while open_ is None and len(seq) > 1 and size + len(seq) // least < 1 << 16:
+        at, symbols, made, dead = _slotted_round(seq, size, least, salt)
+        rules.append(_rules(made, 16))
+        size, salt = size + len(made), salt + 2
+        seq[at] = symbols
+        keep = np.ones(len(seq), bool)
+        keep[at + 1] = False
+        keep = np.flatnonzero(keep)
+        if 24 * len(at) < len(seq):
+            live = np.ones(len(seq), bool)
+            np.logical_not(dead, out=live[:-1])
+            live[at] = True
+            live[np.maximum(at - 1, 0)] = True
+            open_ = np.flatnonzero(live.take(keep))
+        seq = seq.take(keep)
+    seq, more = _linked_rounds(seq, size, least, np.arange(len(seq)) if open_ is None else open_)
+    made = np.concatenate([np.zeros((0, 2), np.uint32), *rules, *more])
+    symbol = np.concatenate([own, first + np.arange(len(made), dtype=np.uint32)]).astype(np.uint32)
+    return symbol.take(seq), symbol.take(made)
+
+
+def rule_ids(rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The ids of every rule, one rule after the other. A rule uses earlier rules only."""
+    size = lengths.astype(np.int64)
+    seq, at = rules.ravel().astype(np.uint32), np.cumsum(size) - size
+    while (inner := np.flatnonzero(seq >= first)).size:
+        grown = np.ones(len(seq), np.int64)
+        grown[inner] = 2
+        begin = np.cumsum(grown) - grown
+        out = np.empty(int(grown.sum()), np.uint32)
+        out[begin] = seq
         pair = rules[seq[inner] - first]
-        out[ends[inner] - 2], out[ends[inner] - 1] = pair[:, 0], pair[:, 1]
+        out[begin[inner]], out[begin[inner] + 1] = pair[:, 0], pair[:, 1]
         seq = out
+    assert len(seq) == int(at[-1] + size[-1] if len(size) else 0)
     return seq
 
 
-def rule_lengths(rules: np.ndarray, first: int = FIRST) -> np.ndarray:
+def rule_lengths(rules: np.ndarray, first: int) -> np.ndarray:
     """Ids that each rule stands for; a rule uses earlier rules only."""
     out: list[int] = []
     for x, y in rules.tolist():
@@ -115,31 +195,39 @@ def rule_lengths(rules: np.ndarray, first: int = FIRST) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def shard_bytes(doc_ids: list[int | None], ids: list[bytes], start: int) -> bytes:
-    sizes = [len(x) // 4 for x in ids]
-    symbols, rules = repair(np.frombuffer(b"".join(ids), "<u4"))
-    lengths = rule_lengths(rules)
-    width = 2 if FIRST + len(rules) <= 1 << 16 else 4
-    inner = symbols >= FIRST
-    long = np.ones(len(symbols), np.uint64)
-    long[inner] = lengths[symbols[inner] - FIRST]
+def expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int) -> np.ndarray:
+    """The ids that symbols stand for."""
+    held = rule_ids(rules, lengths, first)
+    store = np.concatenate([np.arange(first, dtype=np.uint32), held])
+    size = np.concatenate([np.ones(first, np.int64), lengths.astype(np.int64)])
+    at = np.concatenate([np.arange(first), first + np.cumsum(lengths, dtype=np.int64) - lengths])
+    return spread(store, at.take(symbols), size.take(symbols))
+
+
+def shard_bytes(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, start: int, first: int) -> bytes:
+    symbols, rules = repair(ids, first)
+    lengths = rule_lengths(rules, first)
+    width = 2 if first + len(rules) <= 1 << 16 else 4
+    inner = symbols >= first
+    long = np.ones(len(symbols), np.int64)
+    long[inner] = lengths[symbols[inner] - first]
     marks = (np.cumsum(long) - long)[::STRIDE]
     parts = [
-        _HEAD.pack(MAGIC, len(ids), len(rules), len(symbols), width, sum(sizes), start),
-        np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], "u1"), np.array([0, *accumulate(sizes)], "<u8"),
+        _HEAD.pack(MAGIC, first, len(sizes), len(rules), len(symbols), width, len(ids), start),
+        np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], "u1"), np.concatenate([[0], np.cumsum(sizes)]).astype("<u8"),
         rules.astype("<u4"), lengths.astype("<u4"), marks.astype("<u8"), symbols.astype(f"<u{width}"),
     ]
     return b"".join(x if isinstance(x, bytes) else x.tobytes() for x in parts)
 
 
 class Shard:
-    """A shard at a place in a file's bytes; document(k) decodes one document alone, all_ids() everything."""
+    """A shard from its bytes; document(k) decodes one document alone, all_ids() everything."""
 
-    def __init__(self, data: bytes, at: int = 0):
-        magic, self.documents, n_rules, n_symbols, width, self.n_ids, self.start = _HEAD.unpack_from(data, at)
+    def __init__(self, data: bytes):
+        magic, self.first, self.documents, n_rules, n_symbols, width, self.n_ids, self.start = _HEAD.unpack_from(data)
         if magic != MAGIC:
             raise ValueError("this isn't a shard of token ids")
-        at += _HEAD.size
+        at = _HEAD.size
 
         def read(kind: str, n: int) -> np.ndarray:
             nonlocal at
@@ -154,7 +242,6 @@ class Shard:
         self.lengths = read("<u4", n_rules)
         self.marks = read("<u8", -(-n_symbols // STRIDE)).astype(np.int64)
         self.symbols = read(f"<u{width}", n_symbols)
-        self.end = at
 
     def ids(self, a: int, b: int) -> np.ndarray:
         """Ids from offset a to b of the shard, by the marks before and after them."""
@@ -163,122 +250,100 @@ class Shard:
         k = int(np.searchsorted(self.marks, a, "right")) - 1
         m = int(np.searchsorted(self.marks, b, "left"))
         base = int(self.marks[k])
-        return expand(self.symbols[k * STRIDE : m * STRIDE], self.rules)[a - base : b - base]
+        return expand(self.symbols[k * STRIDE : m * STRIDE], self.rules, self.lengths, self.first)[a - base : b - base]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.offsets[k]), int(self.offsets[k + 1]))
 
     def all_ids(self) -> np.ndarray:
-        return expand(self.symbols, self.rules)
+        return expand(self.symbols, self.rules, self.lengths, self.first)
 
 
-def shards(data: bytes) -> Iterator[Shard]:
-    at = 0
-    while at < len(data):
-        shard = Shard(data, at)
-        at = shard.end
-        yield shard
-
-
-def _put(folder: str, name: str, data: bytes) -> None:
-    """A file that is whole whenever it is there; a task that runs again writes the same bytes."""
-    from pyarrow import fs
-
-    store, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-    attempt = f"{base}/_{name}.{TaskContext.get().taskAttemptId()}"
-    with store.open_output_stream(attempt) as out:
-        out.write(data)
-    store.move(attempt, f"{base}/{name}")
-
-
-def _uri(path: str) -> str:
-    """file:/x as file:///x, which Arrow asks for."""
-    return f"file://{path[5:]}" if path.startswith("file:/") and not path.startswith("file://") else path
-
-
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> DataFrame:
-    """Writes the files into `folder` (a path all executors share) and returns (file, part, documents, ids), one row a file."""
-    tokenizer, schema = tokenizer or default_tokenizer(), pa.schema([("file", pa.string()), ("part", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64())])
-    folder = _uri(folder)
-    jvm = docs.sparkSession._jvm
-    at = jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(docs.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str | None = None) -> None:
+    """Writes docs (doc_id, text) as token files into `folder`."""
+    tokenizer = tokenizer or default_tokenizer()
+    schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("documents", pa.int64()), ("ids", pa.int64()), ("start", pa.int64()), ("data", pa.binary())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, start = TaskContext.get().partitionId(), 0, 0
+        first = max(encoder(tokenizer).library.get_vocab().values(), default=0)
+        first = max(first, END) + 1
         doc_ids: list[int | None] = []
-        ids: list[bytes] = []
-        held = [b""]
-        size = n_docs = n_ids = 0
-
-        def shard() -> None:
-            nonlocal doc_ids, ids, size, start, n_docs, n_ids
-            held.append(shard_bytes(doc_ids, ids, start))
-            n_docs, n_ids, start = n_docs + len(ids), n_ids + size, start + size
-            doc_ids, ids, size = [], [], 0
-
-        def file() -> pa.RecordBatch:
-            nonlocal held, number, n_docs, n_ids
-            name = f"part-{part:06d}-{number:05d}.ids"
-            _put(folder, name, b"".join(held))
-            row = table({"file": [name], "part": [part], "documents": [n_docs], "ids": [n_ids]}, schema)
-            held, number, n_docs, n_ids = [b""], number + 1, 0, 0
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        held = 0
+
+        def shard() -> pa.RecordBatch:
+            nonlocal number, start, doc_ids, ids, sizes, held
+            data = shard_bytes(doc_ids, np.concatenate(ids), np.concatenate(sizes), start, first)
+            row = table({"part": [part], "shard": [number], "documents": [len(doc_ids)], "ids": [held], "start": [start], "data": [data]}, schema)
+            number, start, doc_ids, ids, sizes, held = number + 1, start + held, [], [], [], 0
             return row
 
         for batch in batches:
-            for a, b in text_steps(batch.column("text")):
-                for doc_id, x in zip(batch.column("doc_id")[a:b].to_pylist(), token_bytes(tokenizer, texts(batch.column("text")[a:b])), strict=True):
-                    doc_ids.append(doc_id)
-                    ids.append(x)
-                    size += len(x) // 4
-                    if size >= SHARD_IDS:
-                        shard()
-                    if n_ids >= FILE_IDS:
-                        yield file()
-        if ids:
-            shard()
-        if n_docs:
-            yield file()
-
-    ordered = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "file string, part int, documents long, ids long"), "token-files")
-
-
-def read_token_files(files: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, part, in_part, ids): each document's ids (little-endian unsigned 32-bit) as the files hold them."""
-    spark, schema = files.sparkSession, pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("in_part", pa.int64()), ("ids", pa.binary())])
+            for a, b in text_steps(batch.column("text"), STEP // 4):
+                more, at = ended_ids(tokenizer, batch.column("text")[a:b])
+                own = batch.column("doc_id")[a:b].to_pylist()
+                low = 0
+                while low < len(own):  # as many documents as the shard takes, one at least
+                    high = max(low + 1, int(np.searchsorted(at, at[low] + SHARD_IDS - held, "right")) - 1) if held + at[-1] - at[low] > SHARD_IDS else len(own)
+                    doc_ids += own[low:high]
+                    ids.append(more[at[low] : at[high]])
+                    sizes.append(np.diff(at[low : high + 1]))
+                    held += int(at[high] - at[low])
+                    low = high
+                    if low < len(own) or held >= SHARD_IDS:
+                        yield shard()
+        if doc_ids:
+            yield shard()
+
+    tie = F.xxhash64("text")
+    ordered = id_text(docs).repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    # a row group is looked at after every row, so it and what a reader takes at a time stay near GROUP bytes
+    rows = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.block.size": str(GROUP), "compression": "none"}
+    ordered.mapInArrow(write, _DDL).write.options(**rows).parquet(folder)
+
+
+def read_shards(spark: SparkSession, folder: str, look: Callable[[Shard], dict], schema: pa.Schema, ddl: str) -> DataFrame:
+    """What `look` makes of each shard, with its part; shards are decoded in workers, one at a time."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                part = int(path.rpartition("/")[2].split("-")[1])
-                for shard in shards(data.as_py()):
-                    ids, at = shard.all_ids().astype("<u4").tobytes(), shard.offsets.tolist()
-                    yield table({"doc_id": shard.doc_ids, "part": [part] * shard.documents, "in_part": [shard.start + x for x in at[:-1]], "ids": [ids[4 * x : 4 * y] for x, y in zip(at, at[1:], strict=False)]}, schema)
+            for part, data in zip(batch.column("part").to_pylist(), batch.column("data"), strict=True):
+                shard = Shard(data.as_py())
+                yield table({"part": [part] * shard.documents, **look(shard)}, schema)
+
+    return spark.read.schema(_DDL).parquet(folder).select("part", "data").mapInArrow(read, ddl)
 
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.ids").load(folder).select("path", "content")
-    return found.mapInArrow(read, "doc_id long, part int, in_part long, ids binary")
 
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, part, in_part, ids): each document's ids (little-endian unsigned 32-bit) as the files hold them."""
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("in_part", pa.int64()), ("ids", pa.binary())])
+
+    def look(shard: Shard) -> dict:
+        ids, at = shard.all_ids().astype("<u4").tobytes(), (4 * shard.offsets).tolist()
+        return {"doc_id": shard.doc_ids, "in_part": shard.start + shard.offsets[:-1], "ids": [ids[x:y] for x, y in zip(at, at[1:], strict=False)]}
 
-def part_starts(files: DataFrame) -> DataFrame:
-    """(part, before): ids of all earlier parts; one row a part, so as many as the writing job had tasks."""
-    totals = sorted((r.part, r.n) for r in files.groupBy("part").agg(F.sum("ids").alias("n")).collect())
-    before = [0, *accumulate(n for _, n in totals)]
-    return files.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(totals, before, strict=False)], "part int, before long")
+    return read_shards(spark, folder, look, schema, "part int, doc_id long, in_part long, ids binary")
+
+
+def part_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(part, before): ids of all earlier parts, from the shards' headers alone. The window is over one row a part."""
+    totals = spark.read.schema(_DDL).parquet(folder).groupBy("part").agg(F.sum("ids").alias("n"))
+    return totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_path(spark, "ids")
-    files = write_token_files(documents(spark, sf_dir), folder)
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
+    write_token_files(documents(spark, sf_dir), folder)
+    schema = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("in_part", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [x.as_buffer() for x in batch.column("ids")]
-            yield table({"doc_id": batch.column("doc_id"), "part": batch.column("part"), "in_part": batch.column("in_part"), "n_tokens": [x.size // 4 for x in ids], "ids_crc32": [zlib.crc32(x) for x in ids]}, schema)
+    def digests(shard: Shard) -> dict:
+        ids, at = memoryview(shard.all_ids().astype("<u4").view(np.uint8)), (4 * shard.offsets).tolist()
+        return {"doc_id": shard.doc_ids, "in_part": shard.start + shard.offsets[:-1], "n_tokens": np.diff(shard.offsets), "ids_crc32": [zlib.crc32(ids[x:y]) for x, y in zip(at, at[1:], strict=False)]}
 
-    rows = read_token_files(files, folder).mapInArrow(digest, "doc_id long, part int, in_part long, n_tokens long, ids_crc32 long")
-    return rows.join(part_starts(files), "part").select("doc_id", (F.col("before") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
+    rows = read_shards(spark, folder, digests, schema, "part int, doc_id long, in_part long, n_tokens long, ids_crc32 long")
+    return rows.join(part_starts(spark, folder), "part").select("doc_id", (F.col("before") + F.col("in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 QUERIES = {"op5_token_files": op5_token_files}
