@@ -9,13 +9,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a table of ids counts as small enough to broadcast (16 bytes a row).
+#: Rows up to which a table of numbers counts as small enough to broadcast (some 16 bytes a row).
 BROADCAST_ROWS = 500_000
-#: Bytes of text that one step of a vectorised operator looks at.
-TEXT_STEP = 4 << 20
+#: Bytes up to which a table with texts, lists or spans in it counts as small enough to broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Bytes of text that one step of a vectorised operator looks at, and of a batch that Spark hands to a worker.
+TEXT_STEP, BATCH = 4 << 20, 16 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +48,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """The same rows from a table in the shared folder: lineage ends there, and a lost executor costs nothing that is in it."""
     spark = df.sparkSession
+    small_batches(spark)
     path = path or work_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -53,15 +58,55 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to workers BATCH bytes at a time at most, where the session's own setting doesn't say less."""
+    now = spark.conf.get(_BATCH).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(_BATCH, str(BATCH))
+
+
 def id_text(docs: DataFrame) -> DataFrame:
     """The two columns the operators look at; whatever else the table holds can't clash with theirs."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def matching(rows: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows whose key is in ids (one column, distinct): broadcast up to `limit` ids, a shuffled join beyond."""
-    few = ids.limit(limit + 1).count() <= limit
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def located(docs: DataFrame) -> DataFrame:
+    """docs, from files if they weren't: each row then has a file and a place in it."""
+    small_batches(docs.sparkSession)
+    try:
+        docs.select("_metadata.row_index")
+        return docs
+    except AnalysisException:
+        return written(docs, "located")
+
+
+def locator(file: str = "file", row: str = "row") -> tuple[Column, Column]:
+    """Where a row of a `located` table is: a 64-bit hash of its file's path, and its place there."""
+    return F.xxhash64("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(row)
+
+
+def few_rows(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows (numbers only), marked for broadcast up to `limit` of them."""
+    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+
+def few_bytes(rows: DataFrame, size: Column) -> DataFrame:
+    """rows (a written table), marked for broadcast up to BROADCAST_BYTES; size: bytes of a row."""
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("size")).first().size
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
+
+
+def matching(rows: DataFrame, ids: DataFrame, key: str | list[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """rows whose key is in ids (numbers or digests, distinct): broadcast up to `limit` of them, a shuffled join beyond."""
+    return rows.join(few_rows(ids, limit), key, "left_semi")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs (located) without the rows of gone (file, row), all columns as they are."""
+    gone = few_rows(gone.toDF("gone_file", "gone_row"))
+    here = docs.select("*", *locator("__file", "__row"))
+    return here.join(gone, (F.col("__file") == F.col("gone_file")) & (F.col("__row") == F.col("gone_row")), "left_anti").drop("__file", "__row")
 
 
 def table(rows: dict, schema: pa.Schema) -> pa.RecordBatch:

@@ -1,101 +1,131 @@
 """Exact deduplication with streaming state.
 
-Digests of the texts, with id, size and content locator (file and row), are a table that Structured Streaming reads. The
-stream's state, kept in RocksDB and checkpointed to the shared folder, holds per digest the row that stays and how many
-rows came; it never expires, so a later run over new files with the same `state` folder goes on from there. A digest that
-came more than once is a hit: the bytes of its rows are then compared in full with those of the row that stays, fetched by
-its locator. Rows that differ in spite of an equal digest are grouped by their bytes instead.
+Digests of the texts, with id, size and content locator (a hash of the file's path, and the row in it), are a table that
+Structured Streaming reads. The stream's state, kept in RocksDB and checkpointed to the shared folder, holds per digest the
+row that stays and how many rows came; it never expires. A digest that came more than once is a hit: the bytes of its rows
+are then compared in full with those of the row that stays, fetched by its locator. Digests found to stand for different
+bytes are noted, and their rows are grouped by their bytes instead.
+
+With a `state` folder that lasts, a later run over other tables goes on from there: sizes and kept rows are those after all
+runs so far, and rows of earlier runs are read again by locator where bytes have to be compared, so their Parquet files have
+to be where they were. The folder holds `log` (the stream's checkpoint and state), `digests` (all runs' rows), `files` (paths
+by their hash) and `mixed` (digests that stand for different bytes).
 
 Everything is DataFrame operations; no Python runs on executors.
 
 Defined cases: null and empty texts are equal to each other and to texts of white space only; of repeated rows exactly one
-stays; a row with a null doc_id stays only if all rows of its group have none of that size. Extra columns are ignored.
+stays; a row with a null doc_id stays only if all rows of its group have none of that size; any long is a doc_id. Extra
+columns are ignored, or kept as they are by drop_duplicates. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BROADCAST_ROWS, documents, matching, work_path, written
+from ._base import documents, few_bytes, few_rows, located, locator, matching, without, work_path, written
 
 _SPACES = " \t\n\x0b\x0c\r"
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-#: Whether each state partition reserves megabytes of disk for logs before it has any; with many small partitions that is most of it.
-_RESERVE = "spark.sql.streaming.stateStore.rocksdb.allowFAllocate"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore."
+#: State in RocksDB: one bounded cache for all partitions of an executor, no megabytes reserved ahead for the logs of small
+#: ones, and partitions of a stream that has ended are closed soon.
+_SETTINGS = {
+    f"{_STORE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}rocksdb.allowFAllocate": "false",
+    f"{_STORE}rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}rocksdb.maxMemoryUsageMB": "128",
+    f"{_STORE}rocksdb.writeBufferSizeMB": "4",
+    f"{_STORE}maintenanceInterval": "5s",
+}
+_DIGESTS = "run string, doc_id long, file long, row long, digest binary, sha binary, size int, rank long"
 
 
 def normalised(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _SPACES, "")
-
-
-def located(docs: DataFrame) -> DataFrame:
-    """docs, from files if they weren't: each row then has a file and a place in it."""
-    try:
-        docs.select("_metadata.row_index")
-        return docs
-    except AnalysisException:
-        return written(docs, "located")
+    return F.translate(F.coalesce(text.cast("string"), F.lit("")), _SPACES, "")
 
 
-def retain(digests: DataFrame, folder: str, state: str) -> DataFrame:
-    """Feeds the table of digests in `folder` to the state; returns (digest, best (size, rank, file, row), n)."""
-    spark = digests.sparkSession
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
-    spark.conf.set(_RESERVE, "false")
+def retain(spark: SparkSession, state: str) -> DataFrame:
+    """Feeds what is new in the digests of the state folder to the stream; returns (digest, best (size, rank, file, row), n)."""
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
+    for k, v in _SETTINGS.items():
+        spark.conf.set(k, v)
     try:
-        stream = spark.readStream.schema(digests.schema).parquet(folder)
+        stream = spark.readStream.schema(_DIGESTS).parquet(f"{state}/digests")
         best = F.max(F.struct("size", "rank", "file", "row"))
         kept = stream.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n"))
-        kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+        kept.writeStream.format("noop").outputMode("update").option("checkpointLocation", f"{state}/log").trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").load(f"{state}/log")
+        held = held.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("best"), F.col("value.count").alias("n"))
+        return written(held, "held")
     finally:
-        spark.conf.set(_PROVIDER, before)
-        spark.conf.unset(_RESERVE)
-    held = spark.read.format("statestore").load(state)
-    return held.select(F.col("key.digest").alias("digest"), F.col("value.max").alias("best"), F.col("value.count").alias("n"))
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _texts(spark: SparkSession, state: str, rows: DataFrame) -> DataFrame:
+    """rows (file, row, and more) with `norm`, read from their files; as many paths come to the driver as there are files."""
+    files = spark.read.parquet(f"{state}/files").join(rows.select("file").distinct(), "file", "left_semi")
+    paths = sorted({r.path for r in files.select("path").distinct().collect()})
+    if not paths:
+        return rows.withColumn("norm", F.lit(""))
+    read = spark.read.schema("text string").parquet(*paths)
+    return read.select(*locator(), normalised(F.col("text")).alias("norm")).join(few_rows(rows), ["file", "row"])
+
+
+def _there(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return None
 
 
 def exact_duplicates(docs: DataFrame, digest=lambda text: F.unhex(F.sha2(text, 256)), state: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, file, row, text_sha256) for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
     docs = located(docs)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    state, run = state or work_path(spark, "state"), uuid.uuid4().hex
+    earlier = _there(spark, f"{state}/digests") is not None
     text = normalised(F.col("text"))
-    folder = work_path(spark, "digests")
-    made = rows.select("doc_id", "file", "row", digest(text).alias("digest"), F.unhex(F.sha2(text, 256)).alias("sha"), F.length(F.coalesce("text", F.lit(""))).alias("size"), (-F.col("doc_id")).alias("rank"))
-    digests = written(made, "", folder)
-    held = written(retain(digests, folder, state or work_path(spark, "state")), "held")
-
-    # full bytes of the hits
-    hit = held.where("n > 1")
-    texts = rows.select("file", "row", text.alias("norm")).withColumn("digest", digest(F.col("norm")))
-    hits = written(matching(texts, hit.select("digest"), "digest", BROADCAST_ROWS), "hits")
-    stays = hits.join(hit.select("digest", F.col("best.file").alias("file"), F.col("best.row").alias("row")), ["digest", "file", "row"]).select("digest", F.col("norm").alias("kept_norm"))
-    unlike = written(hits.join(stays, "digest").where("norm <> kept_norm").select("digest", "file", "row", "norm"), "unlike")
+    size = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    rank = F.bitwise_not(F.col("doc_id").cast("long"))  # the smaller the id, the higher
+    made = docs.select(F.lit(run).alias("run"), F.col("doc_id").cast("long").alias("doc_id"), *locator(), digest(text).alias("digest"), F.unhex(F.sha2(text, 256)).alias("sha"), size.alias("size"), rank.alias("rank"))
+    made.write.mode("append").parquet(f"{state}/digests")
+    docs.select(locator()[0], F.col("_metadata.file_path").alias("path")).distinct().write.mode("append").parquet(f"{state}/files")
+    digests = spark.read.schema(_DIGESTS).parquet(f"{state}/digests").where(F.col("run") == run).drop("run")
+    held = retain(spark, state)
+
+    # full bytes of the hits against those of the row that stays
+    hit = held.where("n > 1").select("digest", F.col("best.file").alias("file"), F.col("best.row").alias("row"))
+    own = docs.select(*locator(), text.alias("norm")).withColumn("digest", digest(F.col("norm")))
+    hits = written(matching(own, hit.select("digest"), "digest"), "hits")
+    stays = hits.join(hit, ["digest", "file", "row"]).select("digest", F.col("norm").alias("kept_norm"))
+    if earlier:
+        outside = written(hit.join(hits.select("digest").distinct(), "digest", "left_semi").join(hits.select("file", "row"), ["file", "row"], "left_anti"), "outside")
+        stays = stays.union(_texts(spark, state, outside).select("digest", "norm"))
+    stays = few_bytes(written(stays, "stays"), F.octet_length("kept_norm") + 32)
+    unlike = hits.join(stays, "digest").where("norm <> kept_norm").select("digest").distinct()
+    unlike.write.mode("append").parquet(f"{state}/mixed")
+    mixed = written(spark.read.schema("digest binary").parquet(f"{state}/mixed").distinct(), "mixed")
 
     out = digests.join(held, "digest")
-    if unlike.limit(1).count():
-        own = digests.join(unlike.select("file", "row", "norm"), ["file", "row"])
-        groups = own.groupBy("digest", "norm").agg(F.max(F.struct("size", "rank", "file", "row")).alias("best"), F.count("*").alias("n"))
-        fewer = unlike.groupBy("digest").agg(F.count("*").alias("others"))
-        rest = digests.join(unlike.select("file", "row"), ["file", "row"], "left_anti").join(held.join(fewer, "digest", "left").withColumn("n", F.col("n") - F.coalesce("others", F.lit(0))).drop("others"), "digest")
-        out = rest.unionByName(own.join(groups, ["digest", "norm"]).drop("norm"))
+    if mixed.limit(1).count():
+        all_rows = spark.read.schema(_DIGESTS).parquet(f"{state}/digests").join(mixed, "digest", "left_semi").drop("run")
+        members = written(_texts(spark, state, written(all_rows, "members")), "members")
+        groups = members.groupBy("digest", "norm").agg(F.max(F.struct("size", "rank", "file", "row")).alias("best"), F.count("*").alias("n"))
+        now = members.join(digests.select("file", "row"), ["file", "row"], "left_semi").join(groups, ["digest", "norm"]).drop("norm")
+        out = out.join(mixed, "digest", "left_anti").unionByName(now)
     return out.select(
-        "doc_id", (-F.col("best.rank")).alias("keep_id"), F.col("n").alias("group_size"), ((F.col("best.file") == F.col("file")) & (F.col("best.row") == F.col("row"))).alias("kept"), "file", "row", F.lower(F.hex("sha")).alias("text_sha256")
+        "doc_id", F.bitwise_not(F.col("best.rank")).alias("keep_id"), F.col("n").alias("group_size"), ((F.col("best.file") == F.col("file")) & (F.col("best.row") == F.col("row"))).alias("kept"), "file", "row", F.lower(F.hex("sha")).alias("text_sha256")
     )
 
 
-def drop_duplicates(docs: DataFrame) -> DataFrame:
+def drop_duplicates(docs: DataFrame, state: str | None = None) -> DataFrame:
     """The rows of docs that stay, all columns as they were."""
     docs = located(docs)
-    gone = written(exact_duplicates(docs).where("not kept").select("file", "row"), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    gone = gone.toDF("gone_file", "gone_row")
-    here = docs.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-    return here.join(F.broadcast(gone) if few else gone, (F.col("__file") == F.col("gone_file")) & (F.col("__row") == F.col("gone_row")), "left_anti").drop("__file", "__row")
+    return without(docs, written(exact_duplicates(docs, state=state).where("not kept").select("file", "row"), "gone"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BROADCAST_ROWS, documents, matching, written
-from .exact_dedup import located
+from ._base import BROADCAST_ROWS, documents, located, matching, written
 
 DEPTH, SHORT, LEAST, ALIKE = 3, 4, 5, 70
 LONG, OFTEN = 20, 20

@@ -6,7 +6,8 @@ independent tables need. Two sets of similarity s meet in a table with probabili
 0.75, over 0.999999 at 0.85.
 
 Steps, all on tables in the shared folder:
- 1. texts -> set of hashed shingles -> size, 128-bit digest, minhashes. Equal sets become one class (its smallest id).
+ 1. texts -> set of hashed shingles -> size, 128-bit digest, minhashes. Equal sets become one class, with a number of its
+    own; doc_ids only name components at the end, so rows that share a doc_id have nothing to do with each other.
  2. a band value that only one class has can't make a shared key, so keys are formed only from values that recur.
  3. in each key's bucket every class is paired with the smallest one (a star, no pairs of all with all); pairs pass a
     loose test on minhashes, and then the full sets decide. Components of the confirmed links.
@@ -16,7 +17,9 @@ Steps, all on tables in the shared folder:
     meet each other. After this step each pair of classes that shares a key is confirmed, refuted or already connected.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; repeated rows each get a row; a null
-doc_id is kept as a row but never names a component; kept is false for it. Extra columns are ignored.
+doc_id is kept as a row but never names a component, and kept is false for it (a component of null doc_ids only has a null
+component_id); where several rows have the component's doc_id, kept is true for each, and drop_near_duplicates keeps the
+first of them by file and place. Extra columns are ignored, or kept as they are by drop_near_duplicates.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import buffers, documents, id_text, matching, table, text_steps, written
+from ._base import BROADCAST_ROWS, buffers, documents, few_rows, located, locator, table, text_steps, without, written
 from ._graph import components
 from ._words import mix, shingle_sets
 
@@ -42,7 +45,7 @@ BLOCK, BLOCK_SHINGLES, AGREE = 2048, 1_000_000, 20
 STEP, PAIRS = 1 << 20, 50_000
 HASHES = 2 * BAND * TABLES
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("file", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("hashes", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _draw = np.random.default_rng(20240611)
 _ADD = _draw.integers(0, 1 << 64, HASHES, dtype=np.uint64)
 _TIMES = _draw.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,16 +89,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hashes.append(None)
                 ends.append(ends[-1] + (2 * TABLES if len(s) else 0))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
-            yield table({"doc_id": part.column("doc_id"), "n_shingles": n, "digest": digests, "hashes": hashes, "bands": lists}, _SIGNED)
+            yield table({**{c: part.column(c) for c in ("doc_id", "file", "row")}, "n_shingles": n, "digest": digests, "hashes": hashes, "bands": lists}, _SIGNED)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("rep", pa.int64()), ("digest", pa.binary()), ("members", pa.binary())])
+    schema = pa.schema([("rep", pa.int64()), ("members", pa.binary())])
     for batch in batches:
         for a, b in text_steps(batch.column("text"), STEP):
             part = batch.slice(a, b - a)
-            members = [s.tobytes() for s in shingle_sets(*buffers(part.column("text")), SHINGLE)]
-            yield table({"rep": part.column("doc_id"), "digest": [_digest(m) for m in members], "members": members}, schema)
+            yield table({"rep": part.column("rep"), "members": [s.tobytes() for s in shingle_sets(*buffers(part.column("text")), SHINGLE)]}, schema)
 
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,11 +119,10 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, members) of the classes in ids (rep, distinct)."""
-    texts = matching(docs.select("doc_id", "text"), ids.withColumnRenamed("rep", "doc_id"), "doc_id")
-    sets = written(texts.mapInArrow(_sets, "rep long, digest binary, members binary"), "sets")
-    # a doc_id may stand on rows with different texts: the class's own set is the one with its digest
-    return sets.dropDuplicates(["rep", "digest"]).join(reps.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "members")
+    """(rep, members) of the classes in ids (rep, distinct), from one row of each."""
+    rows = written(reps.select("rep", "file", "row").join(ids, "rep", "left_semi"), "rows")
+    texts = docs.select("file", "row", "text").join(few_rows(rows), ["file", "row"]).select("rep", "text")
+    return written(texts.mapInArrow(_sets, "rep long, members binary"), "sets")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -193,14 +194,15 @@ def _joined(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
-    spark = docs.sparkSession
-    docs = id_text(docs)
-    signed = written(docs.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, hashes binary, bands array<long>"), "signed")
-    some = signed.where("digest is not null and doc_id is not null")
-    classes = some.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    reps = written(some.withColumnRenamed("doc_id", "rep").join(classes, ["digest", "rep"]).dropDuplicates(["digest"]), "classes")
+def near_rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, file, row, stays) for each row of docs (doc_id, text); docs is located.
+    stays: one row of each component, of the smallest doc_id, and rows with an empty set."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *locator())
+    signed = written(docs.mapInArrow(_sign, "doc_id long, file long, row long, n_shingles long, digest binary, hashes binary, bands array<long>"), "signed")
+    # a class: its first row, and what only depends on its set
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row")).alias("first")
+    classes = signed.where("digest is not null").groupBy("digest").agg(first, F.first(F.struct("n_shingles", "hashes", "bands")).alias("own"))
+    reps = written(classes.select(F.monotonically_increasing_id().alias("rep"), "digest", "first", "first.file", "first.row", "own.*"), "classes")
 
     # 2: band values that recur, and the keys of all tables formed from them
     spread = reps.select("rep", F.posexplode("bands").alias("place", "value"))
@@ -242,10 +244,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     merged = components(joined.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
     final = at.join(merged.select(F.col("node").alias("label"), F.col("label").alias("lower")), "label", "left").select("rep", F.coalesce("lower", "label").alias("label"))
 
-    by_digest = reps.select("digest", "rep").join(final, "rep").select("digest", "label")
-    out = signed.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    named = reps.select("rep", "digest", "first").join(final, "rep").select("digest", "first", "label")
+    heads = named.groupBy("label").agg(F.min("first").alias("head"))
+    by_digest = written(named.join(heads, "label").select("digest", "head"), "heads")
+    out = signed.select("doc_id", "file", "row", "n_shingles", "digest").join(few_rows(by_digest, BROADCAST_ROWS // 5), "digest", "left")
+    alone = F.col("digest").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    stays = alone | ((F.col("file") == F.col("head.file")) & (F.col("row") == F.col("head.row")))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "file", "row", stays.alias("stays"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return near_rows(located(docs)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def drop_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns as they were."""
+    docs = located(docs)
+    return without(docs, written(near_rows(docs).where("not stays").select("file", "row"), "gone"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
