@@ -89,3 +89,32 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+class HashIndex:
+    """Places of 64-bit hashes in an array of distinct ones, by open addressing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, np.uint64(0))
+        bits = max(4, (2 * len(keys)).bit_length())
+        self.shift, self.slots = np.uint64(64 - bits), np.full(1 << bits, len(keys), np.int32)
+        last, none = (1 << bits) - 1, len(keys)
+        at = np.arange(len(keys))
+        slot = (keys >> self.shift).astype(np.intp)
+        while len(at):
+            free = self.slots[slot] == none
+            self.slots[slot[free]] = at[free]
+            rest = self.slots[slot] != at
+            at, slot = at[rest], (slot[rest] + 1) & last
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The place of each hash, the number of keys for those that aren't there."""
+        none, last = len(self.keys) - 1, len(self.slots) - 1
+        slot = (h >> self.shift).astype(np.intp)
+        at = self.slots.take(slot)
+        other = np.flatnonzero((self.keys.take(at) != h) & (at != none))
+        while len(other):
+            slot[other] = (slot[other] + 1) & last
+            at[other] = now = self.slots.take(slot[other])
+            other = other[(self.keys.take(now) != h[other]) & (now != none)]
+        return at
