@@ -93,7 +93,7 @@ def few_rows(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 def few_bytes(rows: DataFrame, size: Column) -> DataFrame:
     """rows (a written table), marked for broadcast up to BROADCAST_BYTES; size: bytes of a row."""
-    total = rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("size")).first().size
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
 
 
