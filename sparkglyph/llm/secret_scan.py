@@ -1,24 +1,28 @@
 """Secret scans over a content-addressed ledger.
 
-Every text is a blob, named by its SHA-256. The ledger is a table of (blob, rules, spans) for blobs already scanned, by
-version of the rules; only pairs of blob and version that it doesn't have are scanned, each once however many rows hold
-that text, and findings are joined back to all rows. With a `ledger` folder that lasts, a later run over grown or changed
-tables scans only what is new; with new rules it scans everything once more.
-
-Defined cases: null text is the empty blob; repeated rows each get their findings. Extra columns are ignored.
+Every text is a blob, named by its SHA-256. The ledger is a folder of two tables: `scans` (blob, rules, spans), the blobs
+scanned so far by version of the rules, and `paths` (blob, doc_id, version), all the places that held a blob in any version
+of the corpus. Only pairs of blob and rule version that `scans` doesn't have are scanned, each once however many rows hold
+that text, and findings are joined back to all rows. With a `ledger` folder that lasts, a later run over the next version of
+the corpus scans only blobs that no earlier version held; with new rules it scans everything once more. One run at a time
+may write to a ledger.
+
+Defined cases: null text is the empty blob; repeated rows each get their findings; a null doc_id stays null; an empty table
+gives no rows. Extra columns are ignored, or kept as they are by mask_secrets.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BROADCAST_ROWS, documents, table, text_steps, texts, work_path
+from ._base import documents, few_bytes, located, locator, table, text_steps, texts, without, work_path, written
 
 #: The three kinds in order, their patterns, the group whose length counts, and the least length.
 RULES = (
@@ -30,7 +34,7 @@ MASK = "[SECRET]"
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 
-def version(rules: tuple = RULES) -> str:
+def rules_version(rules: tuple = RULES) -> str:
     return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
 
 
@@ -48,26 +52,28 @@ def scanner(rules: tuple = RULES):
     return scan
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("blob"))
+def _blob() -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256))
 
 
-def update_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFrame:
-    """Scans the blobs of docs that the ledger doesn't have under these rules; returns its rows for these rules."""
-    spark, of = docs.sparkSession, version(rules)
-    rows = _rows(docs)
+def scan_unseen(docs: DataFrame, ledger: str, rules: tuple = RULES, version: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Scans the blobs of docs that the ledger doesn't have under these rules, and notes where docs holds its blobs; returns
+    (doc_id, blob) of docs and the ledger's (blob, spans) for these rules."""
+    spark, of = docs.sparkSession, rules_version(rules)
+    docs = located(docs)
     ddl = f"blob binary, rules string, spans {_SPAN}"
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(ledger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{ledger}/scans")
     known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
-    firsts = rows.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    seen = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), _blob().alias("blob"), *locator()), "blobs")
+    seen.select("blob", "doc_id", F.lit(version or uuid.uuid4().hex).alias("version")).write.mode("append").parquet(f"{ledger}/paths")
+    # one row of each new blob is scanned; the others are few where texts differ, so they are what is looked up
+    first = seen.groupBy("blob").agg(F.first("file").alias("first_file"), F.first("row").alias("first_row"))
     if known:
-        had = spark.read.schema(ddl).parquet(ledger).where(F.col("rules") == of)
-        firsts = firsts.join(had.select("blob"), "blob", "left_anti")
-    # one row of each new blob; a null doc_id compares as itself
-    pick = firsts.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"))
-    unseen = rows.join(pick, (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("blob", "text")
+        first = first.join(spark.read.schema(ddl).parquet(f"{ledger}/scans").where(F.col("rules") == of).select("blob"), "blob", "left_anti")
+    first = written(first, "firsts")
+    other = F.col("first_file").isNull() | (F.col("first_file") != F.col("file")) | (F.col("first_row") != F.col("row"))
+    skip = written(seen.join(first, "blob", "left").where(other).select("file", "row"), "skip")
+    unseen = without(docs, skip).select(_blob().alias("blob"), F.col("text").cast("string").alias("text"))
     schema = pa.schema([("blob", pa.binary()), ("rules", pa.string()), ("spans", pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,23 +83,32 @@ def update_ledger(docs: DataFrame, ledger: str, rules: tuple = RULES) -> DataFra
                 spans = [[{"kind": k, "start": x, "end": y} for k, x, y in find(t)] for t in texts(batch.column("text")[a:b])]
                 yield table({"blob": batch.column("blob")[a:b], "rules": [of] * (b - a), "spans": spans}, schema)
 
-    unseen.mapInArrow(scan, ddl).write.mode("append").parquet(ledger)
-    # repeated rows of one doc_id and text were scanned each, with equal results
-    return spark.read.schema(ddl).parquet(ledger).where(F.col("rules") == of).dropDuplicates(["blob"]).select("blob", "spans")
+    unseen.mapInArrow(scan, ddl).write.mode("append").parquet(f"{ledger}/scans")
+    return seen.select("doc_id", "blob"), spark.read.schema(ddl).parquet(f"{ledger}/scans").where(F.col("rules") == of).select("blob", "spans")
+
+
+def _found(scans: DataFrame) -> DataFrame:
+    """The scans that found something; broadcast where their spans are few."""
+    return few_bytes(scans.where(F.size("spans") > 0), 48 + 32 * F.size("spans"))
+
+
+def all_findings(spark: SparkSession, ledger: str, rules: tuple = RULES) -> DataFrame:
+    """(version, doc_id, blob, spans): what these rules found, at every place of every version."""
+    scans = spark.read.parquet(f"{ledger}/scans").where(F.col("rules") == rules_version(rules)).select("blob", "spans")
+    return spark.read.parquet(f"{ledger}/paths").join(_found(scans), "blob").select("version", "doc_id", "blob", "spans")
 
 
-def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple = RULES) -> DataFrame:
+def find_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple = RULES, version: str | None = None) -> DataFrame:
     """(doc_id, blob, spans) for each row of docs (doc_id, text)."""
-    findings = update_ledger(docs, ledger or work_path(docs.sparkSession, "ledger"), rules)
-    return _rows(docs).select("doc_id", "blob").join(findings.where(F.size("spans") > 0), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
+    seen, scans = scan_unseen(docs, ledger or work_path(docs.sparkSession, "ledger"), rules, version)
+    return seen.join(_found(scans), "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"))
 
 
 def mask_secrets(docs: DataFrame, ledger: str | None = None, rules: tuple = RULES) -> DataFrame:
     """docs with each secret replaced by MASK (overlapping spans as one) and n_chars counted anew; all other columns as they were."""
-    findings = update_ledger(docs, ledger or work_path(docs.sparkSession, "ledger"), rules).where(F.size("spans") > 0).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
-    few = findings.limit(BROADCAST_ROWS // 10 + 1).count() <= BROADCAST_ROWS // 10
-    here = docs.withColumn("__of", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    here = here.join(F.broadcast(findings) if few else findings, F.col("__of") == F.col("__blob"), "left")
+    _, scans = scan_unseen(docs, ledger or work_path(docs.sparkSession, "ledger"), rules)
+    found = _found(scans).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
+    here = docs.withColumn("__of", _blob()).join(found, F.col("__of") == F.col("__blob"), "left")
     # spans come by start: text up to each, the mask, and on from the furthest end so far
     masked = F.expr(
         f"aggregate(__spans, struct('' as made, 0 as at), (s, x) -> if(x.start >= s.at, struct(concat(s.made, substring(text, s.at + 1, x.start - s.at), '{MASK}') as made, x.end as at), "
