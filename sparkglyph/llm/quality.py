@@ -10,11 +10,14 @@ Training takes at most SAMPLE labelled rows (all there are, if fewer; chosen by
 numbers, whatever the corpus.
 
 Defined cases: null and empty texts have no features and get the score of the model's bias; with no labels, or of one
-class only, every score is the share of label 1 (0.5 without any); repeated rows each get a row. Extra columns are ignored.
+class only, every score is the share of label 1 (0.5 without any); repeated rows each get a row; a row with a null doc_id is
+scored, never learned from, and its held_out is null; of labels that aren't 0 or 1 nothing is learned; an empty table gives
+no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,7 +117,7 @@ def train(rows: DataFrame, sample: int = SAMPLE) -> tuple:
     """Model of rows (doc_id, text, label 0 or 1), fitted in one task on at most about `sample` rows."""
     there = rows.count()
     if there > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(sample / there * (1 << 20)))
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < math.ceil(sample / there * (1 << 40)))
     found = pa.schema([("label", pa.int32()), ("places", pa.binary())])
     out = pa.schema([("weights", pa.binary()), ("ratio", pa.binary()), ("bias", pa.float64()), ("slope", pa.float64()), ("shift", pa.float64())])
 
