@@ -13,6 +13,7 @@ Defined cases: null text is empty and packs as its end id; repeated rows are pac
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,55 +28,69 @@ CAPACITY = 1024
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+class Sums:
+    """Combinations of the lengths that occur, by their sum: pairs in one array sorted by sum, the longer length descending;
+    a triple's sum is a length and the sum of a pair of lengths no longer than it."""
+
+    def __init__(self, lengths: np.ndarray, capacity: int):
+        self.lengths = np.sort(lengths)[::-1]
+        i, j = np.triu_indices(len(self.lengths))
+        first, second = self.lengths[i], self.lengths[j]
+        fits = first + second < capacity
+        first, second = first[fits], second[fits]
+        order = np.lexsort((-first, first + second))
+        self.first, self.second = first[order], second[order]
+        self.at = np.searchsorted((first + second)[order], np.arange(capacity + 1))
+
+    def pairs(self, total: int, left: np.ndarray, most: int = 1 << 60) -> list[tuple[int, int]]:
+        """Pairs of that sum, of lengths up to `most`, that are available."""
+        if total < 2:
+            return []
+        a, b = self.first[self.at[total] : self.at[total + 1]], self.second[self.at[total] : self.at[total + 1]]
+        k = int(np.searchsorted(-a, -most))
+        there = (left[a[k:]] > 0) & (left[b[k:]] > 0)
+        return list(zip(a[k:][there].tolist(), b[k:][there].tolist(), strict=True))
+
+    def triples(self, total: int, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        for x in self.lengths[(self.lengths < total - 1) & (3 * self.lengths >= total) & (left[self.lengths] > 0)].tolist():
+            for y, z in self.pairs(total - x, left, x):
+                yield x, y, z
+
+
 def plan(counts: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
     """(lengths, times) patterns that use up counts[length], for lengths 1 to len(counts) - 1, the capacity."""
     left = counts.astype(np.int64).copy()
     capacity = len(left) - 1
+    sums = Sums(np.flatnonzero(left), capacity)
     out: list[tuple[tuple[int, ...], int]] = []
 
-    def take(pattern: tuple[int, ...]) -> int:
-        need: dict[int, int] = {}
-        for x in pattern:
-            need[x] = need.get(x, 0) + 1
+    def take(pattern: tuple[int, ...]) -> None:
+        need = Counter(pattern)
         times = int(min(left[x] // k for x, k in need.items()))
         if times:
             for x, k in need.items():
                 left[x] -= times * k
             out.append((pattern, times))
-        return times
 
     take((capacity,))
-    for long in range(capacity - 1, 0, -1):
+    for long in range(capacity - 1, 0, -1):  # combinations that fill the gap exactly, as often as all of them are there
         gap = capacity - long
         if left[long]:
             take((long, gap))
-        if left[long]:  # pairs a >= b with a + b = gap, by their sum
-            a = np.arange((gap + 1) // 2, gap)
-            for x in a[(left[a] > 0) & (left[gap - a] > 0)][::-1]:
+        for combinations in (sums.pairs, sums.triples) if left[long] else ():
+            for combination in combinations(gap, left):
                 if not left[long]:
                     break
-                take((long, int(x), gap - int(x)))
-        if left[long]:  # triples
-            for x in np.flatnonzero(left[: max(1, gap - 1)])[::-1]:
-                rest = gap - int(x)
-                if not left[long] or 3 * int(x) < gap:
-                    break
-                b = np.arange((rest + 1) // 2, min(int(x), rest - 1) + 1)
-                for y in b[(left[b] > 0) & (left[rest - b] > 0)][::-1]:
-                    if not left[long]:
-                        break
-                    take((long, int(x), int(y), rest - int(y)))
-    for long in range(capacity - 1, 0, -1):  # best fit, a whole pattern at a time
+                take((long, *combination))
+    for long in range(capacity - 1, 0, -1):  # best fit of what is left, a whole pattern at a time
         while left[long]:
-            pattern, gap = [long], capacity - long
-            used = {long: 1}
+            pattern, gap, used = [long], capacity - long, Counter([long])
             while gap:
-                fits = np.flatnonzero(left[1 : gap + 1]) + 1
-                fits = [int(x) for x in fits if left[x] > used.get(int(x), 0)]
+                fits = [x for x in (np.flatnonzero(left[1 : gap + 1]) + 1).tolist() if left[x] > used[x]]
                 if not fits:
                     break
                 pattern.append(fits[-1])
-                used[fits[-1]] = used.get(fits[-1], 0) + 1
+                used[fits[-1]] += 1
                 gap -= fits[-1]
             take(tuple(pattern))
     return out
