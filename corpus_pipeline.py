@@ -6,7 +6,7 @@
  4. secrets: secrets in texts are masked
  5. pack: texts become token sequences
 All stages but the last return the columns of documents. Empty tables pass through; rows with a null doc_id are kept where
-a stage has no reason to drop them.
+a stage has no reason to drop them. A decision is about a row, never about a doc_id: rows that share one go or stay by themselves.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkglyph.llm import exact_dedup, language_id, near_dedup, packing, secret_scan
-from sparkglyph.llm._base import BROADCAST_ROWS, documents, work_path, written
+from sparkglyph.llm._base import documents, work_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +28,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = written(near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")), "gone")
-    few = gone.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    return near_dedup.drop_near_duplicates(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
