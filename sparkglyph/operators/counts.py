@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkglyph.functions.text import tokens
 
 
-def _windows(n: int) -> Column:
-    """Array of (n, ctx, w) of one line's tokens `t`; a line with fewer tokens has none (sequence would count down)."""
-    t = F.col("t")
-    made = F.transform(F.sequence(F.lit(n), F.size(t)), lambda i: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", F.slice(t, i - (n - 1), n - 1)).alias("ctx"), F.element_at(t, i).alias("w")))
-    return F.when(F.size(t) >= n, made).otherwise(F.array().cast("array<struct<n:int,ctx:string,w:string>>"))
+def _windows(most: int) -> Column:
+    """Array of w1 to w`most` from each place of a line's tokens `t` on, null beyond the line's end."""
+    return F.arrays_zip(*[(F.slice("t", k, F.size("t")) if k > 1 else F.col("t")).alias(f"w{k}") for k in range(1, most + 1)])
 
 
 def ngram_counts(lines: DataFrame, orders: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """(n, ctx, w, count) over rows (line). One pass and one shuffle, counted on the map side first, so frequent n-grams
     cost one row a task."""
     words = lines.select(tokens(F.col("line")).alias("t")).where(F.size("t") >= min(orders))
-    found = reduce(lambda a, b: F.concat(a, b), [_windows(n) for n in orders])
-    return words.select(F.inline(found)).groupBy("n", "ctx", "w").agg(F.count("*").alias("count"))
+    places = words.select(F.inline(_windows(max(orders))))
+    gram = lambda n: F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[f"w{k}" for k in range(1, n)]).alias("ctx"), F.col(f"w{n}").alias("w"))
+    grams = places.select(F.inline(F.array(*map(gram, orders)))) if len(orders) > 1 else places.select(gram(orders[0]).alias("g")).select("g.*")
+    return grams.where("w is not null").groupBy("n", "ctx", "w").agg(F.count("*").alias("count"))
 
 
 def of_order(counts: DataFrame, n: int) -> DataFrame:

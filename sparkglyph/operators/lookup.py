@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PACK_SHARE, USER_SHARE, LEAST_DEE = 0.7, 0.3, 3.0
+#: Letters of the longest word; a longer query by more than two has no match.
+LONGEST = 30
 
 
 def _first(rows: DataFrame, key: str, n: int, *order) -> DataFrame:
@@ -62,16 +64,20 @@ def _deletions(word: Column, most: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, two))
 
 
-def fuzzy(queries: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
-    """(query, place, w, distance): words within the budget of edits. Two strings within k edits share a string that each
+def close_words(queries: DataFrame, words: DataFrame) -> DataFrame:
+    """(query, w, count, distance, common): words within the budget of edits. Two strings within k edits share a string that each
     becomes by at most k deletions, so candidates come by an equi-join on deletions and Levenshtein's distance decides."""
-    asked = queries.select(F.lower("query").alias("query")).distinct().withColumn("budget", edit_budget(F.col("query")))
+    asked = queries.select(F.lower("query").alias("query")).where(F.length("query") <= LONGEST + 2).distinct().withColumn("budget", edit_budget(F.col("query")))
     left = asked.select("query", "budget", F.explode(_deletions(F.col("query"), F.col("budget"))).alias("key"))
     right = words.select("w", "count", F.explode(_deletions(F.col("w"), F.lit(2))).alias("key"))
     pairs = left.join(right, "key").select("query", "budget", "w", "count").distinct().withColumn("distance", F.levenshtein("query", "w")).where("distance <= budget")
     common = F.size(F.filter(F.sequence(F.lit(1), F.length("query")), lambda k: F.substring("query", F.lit(1), k) == F.substring("w", F.lit(1), k)))
-    rows = pairs.withColumn("common", common)
-    return _first(rows, "query", n, "distance", F.desc("common"), F.desc("count"), "w").select("query", "place", "w", "distance")
+    return pairs.withColumn("common", common)
+
+
+def fuzzy(queries: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
+    """(query, place, w, distance): the best of close_words."""
+    return _first(close_words(queries, words), "query", n, "distance", F.desc("common"), F.desc("count"), "w").select("query", "place", "w", "distance")
 
 
 def filled(first: DataFrame, then: DataFrame, key: str, n: int = 5) -> DataFrame:
@@ -81,13 +87,51 @@ def filled(first: DataFrame, then: DataFrame, key: str, n: int = 5) -> DataFrame
     return _first(best, key, n, "at.source", "at.place").select(key, "place", "w")
 
 
+def merged(queries: DataFrame, user: DataFrame, base: DataFrame, n: int = 5) -> DataFrame:
+    """(query, place, w): completions of `query` by the user's words, then the base's; if fewer than n, the best fuzzy matches
+    of both (the user's count holds) for the places left, without those that are there already. Word lists are (w, count)."""
+    asked = queries.select(F.lower("query").alias("prefix")).distinct()
+    exact = filled(completions(asked, user, n), completions(asked, base, n), "prefix", n).withColumnRenamed("prefix", "query")
+    both = user.withColumn("own", F.lit(0)).unionByName(base.withColumn("own", F.lit(1)))
+    words = both.groupBy("w").agg(F.min(F.struct("own", "count")).alias("best")).select("w", "best.count")
+    close = fuzzy(asked.select(F.col("prefix").alias("query")).where(edit_budget(F.col("prefix")) > 0), words, n)
+    had = exact.groupBy("query").agg(F.count("*").alias("had"))
+    more = close.join(had, "query", "left").where(F.col("place") <= n - F.coalesce("had", F.lit(0))).join(exact.select("query", "w"), ["query", "w"], "left_anti")
+    rows = exact.select("query", "w", F.lit(0).alias("source"), "place").unionByName(more.select("query", "w", F.lit(1).alias("source"), "place"))
+    return _first(rows, "query", n, "source", "place").select("query", "place", "w")
+
+
+def bigram_aware(requests: DataFrame, model: DataFrame, words: DataFrame, n: int = 5) -> DataFrame:
+    """(request_id, place, w): followers of `ctx` with the prefix first, then the best n + 5 completions."""
+    base = completions(requests.select("prefix"), words, n + 5).select(F.col("prefix").alias("lower"), "place", "w")
+    base = requests.select("request_id", F.lower("prefix").alias("lower")).join(base, "lower")
+    return filled(next_words(requests, model, n), base, "request_id", n)
+
+
 def blended(pack: DataFrame, user: DataFrame, key: str, n: int = 5) -> DataFrame:
-    """(key, place, w): 0.7 of the pack's score and 0.3 of the user's; tables (key, w, score)."""
-    rows = pack.select(key, "w", (F.col("score") * PACK_SHARE).alias("part")).unionByName(user.select(key, "w", (F.col("score") * USER_SHARE).alias("part")))
-    return _first(rows.groupBy(key, "w").agg(F.sum("part").alias("score")), key, n, F.desc("score"), "w").select(key, "place", "w")
+    """(key, place, w, score): 0.7 of the pack's score and 0.3 of the user's, of the best 2n of each; tables (key, w, score),
+    the user's with `dee`, which has to be 3 at least."""
+    rows = _first(pack, key, 2 * n, F.desc("score"), "w").select(key, "w", (F.col("score") * PACK_SHARE).alias("part"))
+    own = _first(user.where(F.col("dee") >= LEAST_DEE), key, 2 * n, F.desc("score"), "w").select(key, "w", (F.col("score") * USER_SHARE).alias("part"))
+    both = rows.unionByName(own).groupBy(key, "w").agg(F.sum("part").alias("score"))
+    return _first(both, key, n, F.desc("score"), "w").select(key, "place", "w", "score")
+
+
+def first_completions(prefixes: DataFrame, words: DataFrame, n: int = 3) -> DataFrame:
+    """(prefix, place, w): the alphabetically first longer words with each prefix."""
+    long = prefixes.select(F.lower("prefix").alias("prefix")).where("prefix <> ''").distinct()
+    parts = words.select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 1)).alias("k")).where("k < length(w) and k > 0")
+    return _first(parts.select("w", F.left("w", F.col("k")).alias("prefix")).join(long, "prefix"), "prefix", n, "w").select("prefix", "place", "w")
+
+
+def snippets(prefixes: DataFrame, store: DataFrame, n: int = 3) -> DataFrame:
+    """(prefix, place, code, expansion): the first n of the store's (code, expansion) with an expansion and that prefix, by
+    code; the empty prefix takes all."""
+    rows = store.where("code rlike '^[a-z0-9_]+$' and expansion <> ''")
+    parts = rows.select("code", "expansion", F.explode(F.sequence(F.lit(0), F.length("code"))).alias("k")).select("code", "expansion", F.left("code", F.col("k")).alias("prefix"))
+    return _first(parts.join(prefixes.select("prefix").distinct(), "prefix"), "prefix", n, "code").select("prefix", "place", "code", "expansion")
 
 
 def display_slots(typed: Column, words: Column, n: int = 3) -> Column:
     """The typed word first, then other suggestions; nothing typed: suggestions alone."""
-    rest = F.filter(words, lambda w: w != typed)
-    return F.slice(F.when(F.coalesce(typed, F.lit("")) == "", words).otherwise(F.concat(F.array(typed), rest)), 1, n)
+    return F.slice(F.when(F.coalesce(typed, F.lit("")) == "", words).otherwise(F.concat(F.array(typed), F.array_remove(words, typed))), 1, n)

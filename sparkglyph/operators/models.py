@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkglyph.sources.store import kept
+
 THRESHOLDS = (3, 5, 10, 25, 50)
 #: Scores that rounding brought to 0 count as this when their logarithm is taken.
 FLOOR = 0.0001
@@ -53,7 +55,7 @@ def top_disagreements(a: DataFrame, b: DataFrame, k: int = 20) -> DataFrame:
 
 def follower_stats(model: DataFrame, k: int = 10) -> DataFrame:
     n = tops(model, "a")
-    return n.agg(F.count("*").alias("contexts"), F.sum("n_a").alias("followers"), F.min("n_a").alias("fewest"), F.max("n_a").alias("most"), F.count_if(F.col("n_a") == k).alias("full"))
+    return n.agg(F.count("*").alias("contexts"), F.sum("n_a").alias("followers"), F.min("n_a").alias("fewest"), F.max("n_a").alias("most"), F.round(F.avg("n_a"), 6).alias("mean"), F.count_if(F.col("n_a") == k).alias("full"))
 
 
 def top_words(unigrams: DataFrame, k: int) -> DataFrame:
@@ -128,3 +130,62 @@ def rescored(model: DataFrame, stop: DataFrame, penalty: float = 0.5) -> DataFra
     rows = marked.withColumn("score", F.when(F.col("stop"), F.col("score") * penalty).otherwise(F.col("score")))
     rank = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("score"), "rank"))
     return rows.withColumn("rank", rank).select("ctx", "rank", "w", "score", "support")
+
+
+def cap_agreement(model: DataFrame, caps: tuple[int, ...] = (1, 3, 5, 10), log: bool = True) -> DataFrame:
+    """(cap, contexts, flips, ties): contexts whose `cap` best followers come in another order by their bytes (equal bytes
+    keep the old order), and contexts with equal bytes."""
+    again = F.row_number().over(Window.partitionBy("ctx").orderBy(F.desc("byte"), "rank"))
+    rows = quantized(model, log).withColumn("again", again)
+    per = rows.groupBy("ctx").agg(F.min(F.when(F.col("again") != F.col("rank"), F.least("again", "rank"))).alias("first"), (F.count("*") > F.count_distinct("byte")).alias("tie"))
+    each = per.select(F.explode(F.array(*map(F.lit, caps))).alias("cap"), "first", "tie")
+    return each.groupBy("cap").agg(F.count("*").alias("contexts"), F.count_if(F.col("first") <= F.col("cap")).alias("flips"), F.count_if("tie").alias("ties"))
+
+
+def serialized_size(model: DataFrame, thresholds: tuple[int, ...] = THRESHOLDS) -> DataFrame:
+    """(threshold, contexts, bytes) of the model as one compact JSON object of contexts with that support: "ctx":{"followers":
+    [["w",score],...],"support":n}. Scores have four places at most, without zeros at the end but one."""
+    score = F.regexp_replace(F.regexp_replace(F.col("score").cast("decimal(6,4)").cast("string"), "0+$", ""), r"\.$", ".0")
+    per = model.groupBy("ctx").agg(F.sum(F.octet_length("w") + F.length(score) + 6).alias("inner"), F.max("support").alias("support"))
+    size = F.octet_length("ctx") + F.col("inner") - 1 + F.length(F.col("support").cast("string")) + len('"":{"followers":[],"support":}')
+    each = per.select(F.explode(F.array(*map(F.lit, thresholds))).alias("threshold"), "support", size.alias("size")).where("support >= threshold")
+    return each.groupBy("threshold").agg(F.count("*").alias("contexts"), (F.sum("size") + F.count("*") + 1).alias("bytes"))
+
+
+def root_followers(unigrams: DataFrame, k: int = 255) -> DataFrame:
+    """(rank, w, score, support) of the k most frequent words; support: occurrences of these k."""
+    top = unigrams.orderBy(F.desc("count"), "w").limit(k)
+    place = F.row_number().over(Window.orderBy(F.desc("count"), "w"))  # over the k rows alone
+    sums = top.agg(F.max("count").alias("most"), F.sum("count").alias("support"))
+    return top.withColumn("rank", place).join(F.broadcast(sums)).select("rank", "w", (F.col("count") / F.col("most")).alias("score"), "support")
+
+
+def all_words(unigrams: DataFrame, *models: DataFrame) -> DataFrame:
+    """(w, count): words of contexts, followers and unigrams, with their count or 0."""
+    found = unigrams.select("w", "count")
+    for m in models:
+        for words in (m.select(F.explode(F.split("ctx", " ")).alias("w")), m.select("w")):
+            found = found.unionByName(words.distinct().withColumn("count", F.lit(0).cast("long")))
+    return found.groupBy("w").agg(F.max("count").alias("count"))
+
+
+def pack_trigrams(model: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(ctx_id1, ctx_id2, pos, word_id, byte) of a trigram model; contexts with a word out of the vocabulary are gone, and
+    such followers."""
+    ids = vocab.select("word_id", "w")
+    first, second = (ids.select(F.col("word_id").alias(f"ctx_id{k}"), F.col("w").alias(f"c{k}")) for k in (1, 2))
+    rows = quantized(model).withColumn("c1", F.substring_index("ctx", " ", 1)).withColumn("c2", F.substring_index("ctx", " ", -1))
+    rows = rows.join(ids, "w").join(first, "c1").join(second, "c2")
+    return rows.select("ctx_id1", "ctx_id2", (F.row_number().over(Window.partitionBy("ctx_id1", "ctx_id2").orderBy("rank")) - 1).alias("pos"), "word_id", "byte")
+
+
+def word_ranks(unigrams: DataFrame) -> DataFrame:
+    """(w, rank) by count and word, without bringing the vocabulary into one task: ranks within sorted ranges of it, plus the
+    sizes of the ranges before (one row each)."""
+    ordered = unigrams.repartitionByRange(F.desc("count"), F.asc("w")).sortWithinPartitions(F.desc("count"), "w")
+    part = F.spark_partition_id()
+    placed = ordered.select("w", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("long"), 33)).alias("at"))
+    placed = kept(placed, "ranks")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    return placed.join(F.broadcast(before), "part").select("w", (F.col("before") + F.col("at") + 1).alias("rank"))

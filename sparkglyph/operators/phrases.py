@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkglyph.functions.text import raw_words
+from sparkglyph.functions.text import raw_words, without_pos
 
 #: Phrases that count as few enough to broadcast.
 FEW = 100_000
@@ -67,5 +67,41 @@ def pass_rate(cases: DataFrame, answers: DataFrame) -> DataFrame:
 
 def by_genre(rows: DataFrame, genre: str, key: str, n: int) -> DataFrame:
     """n rows of each genre, chosen by a hash of the key (a sampling operator)."""
-    place = F.row_number().over(Window.partitionBy(genre).orderBy(F.xxhash64(key), key))
+    place = F.row_number().over(Window.partitionBy(genre).orderBy(F.md5(F.col(key).cast("string")), key))
     return rows.withColumn("place", place).where(F.col("place") <= n).drop("place")
+
+
+def collapse_years(rows: DataFrame, first_year: int = 0) -> DataFrame:
+    """(ngram, count) of (ngram, year, match_count): part-of-speech marks go, n-grams with anything but words too."""
+    clean = rows.where(F.col("year") >= first_year).select(F.transform(F.split("ngram", " "), without_pos).alias("t"), "match_count")
+    kept = clean.where(F.forall("t", lambda w: w.rlike("^[a-zA-Z']+$")))
+    return kept.groupBy(F.array_join("t", " ").alias("ngram")).agg(F.sum("match_count").alias("count"))
+
+
+def best_spelling(words: DataFrame) -> DataFrame:
+    """(w, count): of spellings that differ in case only the highest count."""
+    return words.groupBy(F.lower("w").alias("w")).agg(F.max("count").alias("count"))
+
+
+def attached(phrases: DataFrame, words: DataFrame, contexts: DataFrame) -> DataFrame:
+    """(phrase, status): attached where the phrase is a context of the model, oov where a word isn't in `words` (w), no_path
+    else."""
+    each = phrases.select("phrase", F.explode(F.split("phrase", " ")).alias("w"))
+    out = each.join(words, "w", "left_anti").select("phrase").distinct().withColumn("oov", F.lit(True))
+    there = contexts.select(F.col("ctx").alias("phrase")).distinct().withColumn("there", F.lit(True))
+    status = F.when(F.col("oov"), "oov").when(F.col("there"), "attached").otherwise("no_path")
+    return phrases.select("phrase").join(out, "phrase", "left").join(there, "phrase", "left").select("phrase", status.alias("status"))
+
+
+def extensions(contexts: DataFrame, phrases: DataFrame, most: int = 3) -> DataFrame:
+    """(ctx, phrase, count): phrases (phrase, count) that are a context or go on from it by `most` words at most."""
+    t = F.split("phrase", " ")
+    parts = phrases.select("phrase", "count", t.alias("t"), F.explode(F.sequence(F.greatest(F.lit(1), F.size(t) - most), F.size(t))).alias("k"))
+    return parts.select(F.array_join(F.slice("t", 1, F.col("k")), " ").alias("ctx"), "phrase", "count").join(contexts.select("ctx").distinct(), "ctx")
+
+
+def learned(commits: DataFrame, known: DataFrame) -> DataFrame:
+    """(w, frequency) of (w, how): words of two letters or more that don't begin with ; are learned when tapped, and when
+    flushed if they are known (w)."""
+    rows = commits.where((F.length("w") > 1) & ~F.col("w").startswith(";")).join(known.select("w").distinct().withColumn("known", F.lit(True)), "w", "left")
+    return rows.where((F.col("how") == "tap") | F.col("known")).groupBy("w").agg(F.count("*").alias("frequency"))

@@ -31,10 +31,15 @@ def _kn(rows: DataFrame, lower: Column, d: float) -> DataFrame:
     return rows.withColumn("raw", own + (F.lit(d) * F.col("distinct_n") / F.col("total")) * lower)
 
 
-def kn_bigrams(counts: DataFrame, d: float = DISCOUNT, least: int = 1) -> DataFrame:
-    """(ctx, w, raw, support) of observed followers of contexts with `least` occurrences."""
+def _asked(rows: DataFrame, only: DataFrame | None) -> DataFrame:
+    """The rows of the contexts in `only` (ctx, distinct), or all."""
+    return rows if only is None else rows.join(only, "ctx", "left_semi")
+
+
+def kn_bigrams(counts: DataFrame, d: float = DISCOUNT, least: int = 1, only: DataFrame | None = None) -> DataFrame:
+    """(ctx, w, raw, support) of observed followers of contexts with `least` occurrences; of the contexts in `only`, if given."""
     bi = of_order(counts, 2)
-    rows = bi.join(context_totals(bi).where(F.col("total") >= least), "ctx").join(continuation(bi), "w")
+    rows = _asked(bi, only).join(context_totals(bi).where(F.col("total") >= least), "ctx").join(continuation(bi), "w")
     return _kn(rows, F.col("p"), d).select("ctx", "w", "raw", F.col("total").alias("support"))
 
 
@@ -57,13 +62,13 @@ def _reachable(seen: DataFrame, totals: DataFrame, lower: DataFrame, listed: int
     return own.unionByName(more.select("ctx", "w", F.lit(0).cast("long").alias("count"), "low")).groupBy("ctx", "w").agg(F.max("count").alias("count"), F.max("low").alias("low"))
 
 
-def kn_trigrams(counts: DataFrame, d: float = DISCOUNT, least: int = LEAST, k: int | None = FOLLOWERS, listed: int | None = None) -> DataFrame:
+def kn_trigrams(counts: DataFrame, d: float = DISCOUNT, least: int = LEAST, k: int | None = FOLLOWERS, listed: int | None = None, only: DataFrame | None = None) -> DataFrame:
     """Observed followers and those of the bigram backoff, which keeps its best `k` only (None: all of them); a follower
-    that isn't listed there is backed off to its continuation probability. listed: only so many of a context's best
-    followers are asked for."""
-    bi, tri = of_order(counts, 2), of_order(counts, 3)
+    that isn't listed there is backed off to its continuation probability. listed: only so many of a context's
+    best followers are asked for. only: contexts (ctx, distinct) that are asked for."""
+    bi, tri = of_order(counts, 2), _asked(of_order(counts, 3), only)
     totals = context_totals(tri).where(F.col("total") >= least)
-    lower = kn_bigrams(counts, d)
+    lower = kn_bigrams(counts, d, only=None if only is None else only.select(F.regexp_replace("ctx", "^[^ ]* ", "").alias("ctx")).distinct())
     lower = lower if k is None else top_rows(lower, k)
     found = _candidates(tri, totals, lower) if listed is None else _reachable(tri, totals, lower, listed)
     rows = found.join(totals, "ctx").join(continuation(bi), "w", "left")
@@ -93,17 +98,17 @@ def katz_discounts(counts: DataFrame, k: int = KATZ_K, textbook: bool = False) -
     return rows.select("n", F.col("r").cast("long").alias("r"), F.when(whole & (at(F.col("r")) > 0) & (at(F.col("r") + 1) > 0), d).otherwise(1.0).alias("d"))
 
 
-def _discounted(counts: DataFrame, n: int, least: int = 1) -> DataFrame:
+def _discounted(counts: DataFrame, n: int, least: int = 1, textbook: bool = False) -> DataFrame:
     """(ctx, w, count, dc, total, raw): dc = discount * count; the table of discounts has k rows an order."""
     grams = of_order(counts, n)
-    d = katz_discounts(counts.where(F.col("n") == n)).select(F.col("r").alias("count"), "d")
+    d = katz_discounts(counts.where(F.col("n") == n), textbook=textbook).select(F.col("r").alias("count"), "d")
     rows = grams.join(context_totals(grams).where(F.col("total") >= least), "ctx").join(F.broadcast(d), "count", "left")
     dc = F.coalesce("d", F.lit(1.0)) * F.col("count")
     return rows.select("ctx", "w", "count", dc.alias("dc"), "total", (dc / F.col("total")).alias("raw"))
 
 
-def katz_bigrams(counts: DataFrame, least: int = 1) -> DataFrame:
-    return _discounted(counts, 2, least).select("ctx", "w", "raw", F.col("total").alias("support"))
+def katz_bigrams(counts: DataFrame, least: int = 1, textbook: bool = False) -> DataFrame:
+    return _discounted(counts, 2, least, textbook).select("ctx", "w", "raw", F.col("total").alias("support"))
 
 
 def _beta(seen_low: DataFrame) -> DataFrame:
@@ -113,9 +118,9 @@ def _beta(seen_low: DataFrame) -> DataFrame:
     return seen_low.groupBy("ctx").agg(F.when(F.abs(left) < NOISE, 0.0).otherwise(left / rest).alias("beta"))
 
 
-def katz_backoff(counts: DataFrame, k: int = FOLLOWERS) -> DataFrame:
+def katz_backoff(counts: DataFrame, k: int = FOLLOWERS, textbook: bool = False) -> DataFrame:
     """(ctx, w, raw): bigram followers and, with the mass left, the k most frequent words unseen there; the best k."""
-    seen = _discounted(counts, 2)
+    seen = _discounted(counts, 2, textbook=textbook)
     uni = unigram_mle(of_order(counts, 1))
     often = uni.orderBy(F.desc("count"), "w").limit(k)
     beta = _beta(seen.join(uni.select("w", F.col("p").alias("low")), "w", "left")).where("beta > 0")
@@ -123,27 +128,27 @@ def katz_backoff(counts: DataFrame, k: int = FOLLOWERS) -> DataFrame:
     return top_rows(seen.select("ctx", "w", "raw").unionByName(unseen), k).drop("rank")
 
 
-def _katz_parts(counts: DataFrame, least: int, k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    seen = _discounted(counts, 3, least).withColumn("short", F.regexp_replace("ctx", "^[^ ]* ", ""))
-    low = katz_backoff(counts, k).select(F.col("ctx").alias("short"), "w", F.col("raw").alias("low"))
+def _katz_parts(counts: DataFrame, least: int, k: int, textbook: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    seen = _discounted(counts, 3, least, textbook).withColumn("short", F.regexp_replace("ctx", "^[^ ]* ", ""))
+    low = katz_backoff(counts, k, textbook).select(F.col("ctx").alias("short"), "w", F.col("raw").alias("low"))
     both = seen.join(low, ["short", "w"], "left")
     return both, low, _beta(both)
 
 
-def katz_trigrams(counts: DataFrame, least: int = LEAST, k: int = FOLLOWERS) -> DataFrame:
+def katz_trigrams(counts: DataFrame, least: int = LEAST, k: int = FOLLOWERS, textbook: bool = False) -> DataFrame:
     """Discounted observed followers, and unseen ones of the backoff with a positive share of the mass that is left."""
-    both, low, beta = _katz_parts(counts, least, k)
+    both, low, beta = _katz_parts(counts, least, k, textbook)
     open_ctx = both.select("ctx", "short", "total").distinct().join(beta.where("beta > 0"), "ctx")
     unseen = open_ctx.join(low, "short").join(both.select("ctx", "w"), ["ctx", "w"], "left_anti").select("ctx", "w", (F.col("beta") * F.col("low")).alias("raw"), "total")
     return both.select("ctx", "w", "raw", "total").unionByName(unseen).withColumnRenamed("total", "support")
 
 
-def pruned_trigrams(counts: DataFrame, least: int = LEAST, k: int = FOLLOWERS, delta: float = DELTA) -> DataFrame:
+def pruned_trigrams(counts: DataFrame, least: int = LEAST, k: int = FOLLOWERS, delta: float = DELTA, textbook: bool = False) -> DataFrame:
     """Observed followers that tell more than the backoff does: p(w1 w2 w) * |ln p - ln(beta * backoff)| > delta. Without a
     backoff estimate a follower stays, if its joint probability is positive."""
-    both, _, beta = _katz_parts(counts, least, k)
+    both, _, beta = _katz_parts(counts, least, k, textbook)
     p1 = unigram_mle(of_order(counts, 1)).select(F.col("w").alias("w1"), F.col("p").alias("p1"))
-    joint = _discounted(counts, 2).join(p1, F.col("ctx") == F.col("w1")).select(F.concat_ws(" ", "ctx", "w").alias("ctx"), (F.col("raw") * F.col("p1")).alias("joint"))
+    joint = _discounted(counts, 2, textbook=textbook).join(p1, F.col("ctx") == F.col("w1")).select(F.concat_ws(" ", "ctx", "w").alias("ctx"), (F.col("raw") * F.col("p1")).alias("joint"))
     rows = both.join(beta, "ctx").join(joint, "ctx", "left").withColumn("bo", F.col("beta") * F.coalesce("low", F.lit(0.0)))
     told = F.when(F.col("bo") <= 0, F.lit(float("inf"))).otherwise(F.abs(F.log("raw") - F.log(F.greatest("bo", F.lit(1e-300)))))
     keep = (F.col("joint") > 0) & (F.col("joint") * F.col("raw") * told > delta)
@@ -155,3 +160,11 @@ def log_ratio(counts: DataFrame, pairs: int) -> DataFrame:
     kept = of_order(counts, 2).orderBy(F.desc("count"), "ctx", "w").limit(pairs)
     total = F.sum("count").over(Window.partitionBy("ctx"))
     return kept.select("ctx", "w", (F.log(F.col("count") + 1) / F.log(total + 1)).alias("raw"), total.alias("support"))
+
+
+def discounted_unigram(counts: DataFrame, stop: DataFrame, d: float = DISCOUNT, penalty: float = 0.5, least: int = 1) -> DataFrame:
+    """(ctx, w, raw, support): absolute discounting with unigram backoff, stop words (w) at `penalty` of their score."""
+    bi, uni = of_order(counts, 2), unigram_mle(of_order(counts, 1)).select("w", "p")
+    rows = bi.join(context_totals(bi).where(F.col("total") >= least), "ctx").join(uni, "w", "left").join(stop.withColumn("stop", F.lit(True)), "w", "left")
+    scored = _kn(rows, F.coalesce("p", F.lit(0.0)), d)
+    return scored.select("ctx", "w", F.when(F.col("stop"), F.col("raw") * penalty).otherwise(F.col("raw")).alias("raw"), F.col("total").alias("support"))

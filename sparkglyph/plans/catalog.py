@@ -15,6 +15,7 @@ from sparkglyph.operators import personal as U
 from sparkglyph.operators import phrases as P
 from sparkglyph.operators import smoothing as S
 from sparkglyph.plans import oracles
+from sparkglyph.sources import store
 from sparkglyph.streaming import personal as streamed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,49 +34,64 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def corpus(spark: SparkSession, sf_dir: str, orders: tuple[int, ...], name: str = "documents") -> DataFrame:
+def counted(spark: SparkSession, sf_dir: str, orders: tuple[int, ...], name: str = "documents") -> DataFrame:
     return C.ngram_counts(T.lines(read(spark, sf_dir, name)), orders)
 
 
-def unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.of_order(corpus(spark, sf_dir, (1,)), 1).select("w", "count")
+def corpus(spark: SparkSession, sf_dir: str, orders: tuple[int, ...], name: str = "documents") -> DataFrame:
+    """Counts from a store of their own, made in one pass over the texts, for queries that use them more than once."""
+    return store.counted(counted(spark, sf_dir, orders, name))
+
 
+def words_of(counts: DataFrame) -> DataFrame:
+    return C.of_order(counts, 1).select("w", "count")
 
-def kn2(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return S.top_followers(S.kn_bigrams(corpus(spark, sf_dir, (2,), name)))
 
+def unigrams(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """(w, count), kept: lists of words are asked for more than once."""
+    return store.kept(words_of(counted(spark, sf_dir, (1,), name)), "unigrams")
 
-def katz2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_followers(S.katz_bigrams(corpus(spark, sf_dir, (2,))))
 
+def kn2(counts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    return S.top_followers(S.kn_bigrams(counts, only=only))
+
+
+def kn3(counts: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    return S.top_followers(S.kn_trigrams(counts, only=only))
+
+
+def katz2(counts: DataFrame) -> DataFrame:
+    return S.top_followers(S.katz_bigrams(counts))
 
-def pruned3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.top_followers(S.pruned_trigrams(corpus(spark, sf_dir, (1, 2, 3))))
+
+def kept_kn2(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """The bigram model, kept: what reads it more than once makes it once."""
+    return store.kept(kn2(corpus(spark, sf_dir, (2,), name)), "model")
 
 
 @query
 def unigram_counts(spark, sf_dir):
-    return unigrams(spark, sf_dir)
+    return words_of(counted(spark, sf_dir, (1,)))
 
 
 @query
 def bigram_counts(spark, sf_dir):
-    return C.of_order(corpus(spark, sf_dir, (2,)), 2)
+    return C.of_order(counted(spark, sf_dir, (2,)), 2)
 
 
 @query
 def trigram_counts(spark, sf_dir):
-    return C.of_order(corpus(spark, sf_dir, (3,)), 3)
+    return C.of_order(counted(spark, sf_dir, (3,)), 3)
 
 
 @query
 def count_of_counts(spark, sf_dir):
-    return C.count_of_counts(corpus(spark, sf_dir, (1, 2, 3)))
+    return C.count_of_counts(counted(spark, sf_dir, (1, 2, 3)))
 
 
 @query
 def context_totals(spark, sf_dir):
-    return C.context_totals(C.of_order(corpus(spark, sf_dir, (2,)), 2))
+    return C.context_totals(C.of_order(counted(spark, sf_dir, (2,)), 2))
 
 
 @query
@@ -90,12 +106,12 @@ def unigram_mle(spark, sf_dir):
 
 @query
 def kn_bigram_topk(spark, sf_dir):
-    return kn2(spark, sf_dir)
+    return kn2(corpus(spark, sf_dir, (2,)))
 
 
 @query
 def kn_trigram_topk(spark, sf_dir):
-    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3))))
+    return kn3(corpus(spark, sf_dir, (2, 3)))
 
 
 @query
@@ -115,7 +131,7 @@ def katz_discounts(spark, sf_dir):
 
 @query
 def katz_bigram_topk(spark, sf_dir):
-    return katz2(spark, sf_dir)
+    return katz2(corpus(spark, sf_dir, (2,)))
 
 
 @query
@@ -125,7 +141,33 @@ def katz_trigram_topk(spark, sf_dir):
 
 @query
 def pruned_trigram_topk(spark, sf_dir):
-    return pruned3(spark, sf_dir)
+    return S.top_followers(S.pruned_trigrams(corpus(spark, sf_dir, (1, 2, 3))))
+
+
+@query
+def katz_textbook_discounts(spark, sf_dir):
+    return S.katz_discounts(corpus(spark, sf_dir, (1, 2, 3)), textbook=True).withColumn("d", F.round("d", 6))
+
+
+@query
+def katz_textbook_bigram_topk(spark, sf_dir):
+    return S.top_followers(S.katz_bigrams(corpus(spark, sf_dir, (2,)), textbook=True))
+
+
+@query
+def katz_textbook_trigram_topk(spark, sf_dir):
+    return S.top_followers(S.katz_trigrams(corpus(spark, sf_dir, (1, 2, 3)), textbook=True))
+
+
+@query
+def pruned_textbook_topk(spark, sf_dir):
+    return S.top_followers(S.pruned_trigrams(corpus(spark, sf_dir, (1, 2, 3)), textbook=True))
+
+
+@query
+def stop_discount_topk(spark, sf_dir):
+    counts = corpus(spark, sf_dir, (1, 2))
+    return S.top_followers(S.discounted_unigram(counts, M.top_words(words_of(counts), STOP)))
 
 
 @query
@@ -135,7 +177,8 @@ def log_ratio_topk(spark, sf_dir):
 
 @query
 def stop_word_rescore(spark, sf_dir):
-    return M.rescored(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), STOP)).withColumn("score", F.round("score", 5))
+    counts = corpus(spark, sf_dir, (1, 2))
+    return M.rescored(kn2(counts), M.top_words(words_of(counts), STOP)).withColumn("score", F.round("score", 5))
 
 
 @query
@@ -145,52 +188,58 @@ def word_scores(spark, sf_dir):
 
 @query
 def compare_sweep(spark, sf_dir):
-    return M.compare_sweep(kn2(spark, sf_dir), katz2(spark, sf_dir))
+    counts = corpus(spark, sf_dir, (2,))
+    return M.compare_sweep(kn2(counts), katz2(counts))
 
 
 @query
 def compare_identical(spark, sf_dir):
-    return M.identical_lists(kn2(spark, sf_dir), katz2(spark, sf_dir))
+    counts = corpus(spark, sf_dir, (2,))
+    return M.identical_lists(kn2(counts), katz2(counts))
 
 
 @query
 def compare_three_way(spark, sf_dir):
-    return M.three_way(kn2(spark, sf_dir), katz2(spark, sf_dir), kn2(spark, sf_dir, "conversations"))
+    counts = corpus(spark, sf_dir, (2,))
+    return M.three_way(kn2(counts), katz2(counts), kn2(corpus(spark, sf_dir, (2,), "conversations")))
 
 
 @query
 def dropped_contexts(spark, sf_dir):
-    return M.dropped_contexts(kn2(spark, sf_dir), kn2(spark, sf_dir, "conversations"))
+    return M.dropped_contexts(kn2(corpus(spark, sf_dir, (2,))), kn2(corpus(spark, sf_dir, (2,), "conversations")))
 
 
 @query
 def top_disagreements(spark, sf_dir):
-    return M.top_disagreements(kn2(spark, sf_dir), katz2(spark, sf_dir))
+    counts = corpus(spark, sf_dir, (2,))
+    return M.top_disagreements(kn2(counts), katz2(counts))
 
 
 @query
 def follower_stats(spark, sf_dir):
-    return M.follower_stats(kn2(spark, sf_dir))
+    return M.follower_stats(kn2(corpus(spark, sf_dir, (2,))))
 
 
 @query
 def vocab_cap(spark, sf_dir):
-    return M.vocab_cap(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), CAP))
+    counts = corpus(spark, sf_dir, (1, 2))
+    return M.vocab_cap(store.kept(kn2(counts), "model"), M.top_words(words_of(counts), CAP))
 
 
 @query
 def vocab_capped_model(spark, sf_dir):
-    return M.capped(kn2(spark, sf_dir), M.top_words(unigrams(spark, sf_dir), CAP))
+    counts = corpus(spark, sf_dir, (1, 2))
+    return M.capped(store.kept(kn2(counts), "model"), M.top_words(words_of(counts), CAP))
 
 
 @query
 def quantized_scores(spark, sf_dir):
-    return M.quantized(kn2(spark, sf_dir), log=False).select("ctx", "rank", "w", "byte")
+    return M.quantized(kept_kn2(spark, sf_dir), log=False).select("ctx", "rank", "w", "byte")
 
 
 @query
 def quantization_flips(spark, sf_dir):
-    return M.quantization_flips(kn2(spark, sf_dir), log=False)
+    return M.quantization_flips(kept_kn2(spark, sf_dir), log=False)
 
 
 @query
@@ -200,7 +249,60 @@ def pack_vocabulary(spark, sf_dir):
 
 @query
 def pack_followers(spark, sf_dir):
-    return M.pack_followers(kn2(spark, sf_dir), M.vocabulary(unigrams(spark, sf_dir)))
+    return M.pack_followers(kept_kn2(spark, sf_dir), M.vocabulary(unigrams(spark, sf_dir)))
+
+
+@query
+def pack_trigrams(spark, sf_dir):
+    counts = corpus(spark, sf_dir, (1, 2, 3))
+    return M.pack_trigrams(store.kept(kn3(counts), "model"), M.vocabulary(words_of(counts), CAP))
+
+
+@query
+def pack_root(spark, sf_dir):
+    rows = M.quantized(M.root_followers(unigrams(spark, sf_dir)))
+    return rows.select("rank", "w", "support", "byte")
+
+
+@query
+def vocabulary_union(spark, sf_dir):
+    return M.all_words(unigrams(spark, sf_dir), kept_kn2(spark, sf_dir), kept_kn2(spark, sf_dir, "conversations"))
+
+
+@query
+def dequantized_scores(spark, sf_dir):
+    model = kept_kn2(spark, sf_dir)
+    rows = M.quantized(model).join(F.broadcast(M.score_range(model)))
+    return rows.select("ctx", "rank", F.round(M.dequantized(F.col("byte"), F.col("lo"), F.col("hi")), 6).alias("score"))
+
+
+@query
+def cap_agreement(spark, sf_dir):
+    return M.cap_agreement(kept_kn2(spark, sf_dir))
+
+
+@query
+def model_size(spark, sf_dir):
+    return M.serialized_size(kn2(corpus(spark, sf_dir, (2,))))
+
+
+@query
+def word_ranks(spark, sf_dir):
+    return M.word_ranks(unigrams(spark, sf_dir))
+
+
+@query
+def target_words(spark, sf_dir):
+    words = unigrams(spark, sf_dir)
+    ranks = M.word_ranks(words).where("rank > 200").select(F.col("w").alias("target"))
+    stop = M.top_words(words, STOP).select(F.col("w").alias("target"))
+    return _typed(spark, sf_dir).where("length(target) >= 3").join(ranks, "target", "left_semi").join(stop, "target", "left_anti")
+
+
+@query
+def unigram_dedup(spark, sf_dir):
+    found = T.lines(read(spark, sf_dir, "documents")).select(F.explode(T.raw_words(F.col("line"))).alias("w")).where(F.col("w").rlike("^[A-Za-z']+$"))
+    return P.best_spelling(found.groupBy("w").agg(F.count("*").alias("count")))
 
 
 @query
@@ -239,34 +341,129 @@ def _requests(spark, sf_dir):
     return cases.withColumn("request_id", F.concat_ws(":", "item_id", "no"))
 
 
-def _kn3(spark, sf_dir):
-    return S.top_followers(S.kn_trigrams(corpus(spark, sf_dir, (2, 3))))
-
-
 @query
 def eval_cases(spark, sf_dir):
     return P.eval_cases(read(spark, sf_dir, "benchmark"))
 
 
+def _asked(requests: DataFrame, *words: str) -> DataFrame:
+    """The distinct contexts of requests; a model is made for these alone."""
+    return requests.select(F.concat_ws(" ", *words).alias("ctx")).distinct()
+
+
 @query
 def next_words(spark, sf_dir):
-    return L.next_words(_requests(spark, sf_dir).withColumn("ctx", F.col("w2")), kn2(spark, sf_dir))
+    asked = _requests(spark, sf_dir).withColumn("ctx", F.col("w2"))
+    return L.next_words(asked, kn2(corpus(spark, sf_dir, (2,)), _asked(asked, "w2")))
 
 
 @query
 def support_lookup(spark, sf_dir):
-    return L.support(_requests(spark, sf_dir).withColumn("ctx", F.col("w2")), kn2(spark, sf_dir))
+    asked = _requests(spark, sf_dir).withColumn("ctx", F.col("w2"))
+    return L.support(asked, kn2(corpus(spark, sf_dir, (2,)), _asked(asked, "w2")))
+
+
+def _cascaded(spark, sf_dir, asked):
+    counts = corpus(spark, sf_dir, (2, 3))
+    return L.cascade(asked, kn3(counts, _asked(asked, "w1", "w2")), kn2(counts, _asked(asked, "w2")))
 
 
 @query
 def cascade(spark, sf_dir):
-    return L.cascade(_requests(spark, sf_dir), _kn3(spark, sf_dir), kn2(spark, sf_dir))
+    return _cascaded(spark, sf_dir, _requests(spark, sf_dir))
 
 
 @query
 def eval_pass_rate(spark, sf_dir):
     asked = _requests(spark, sf_dir)
-    return P.pass_rate(asked, L.cascade(asked, _kn3(spark, sf_dir), kn2(spark, sf_dir)))
+    return P.pass_rate(asked, _cascaded(spark, sf_dir, asked))
+
+
+@query
+def bigram_aware(spark, sf_dir):
+    asked = _requests(spark, sf_dir).withColumn("ctx", F.col("w2")).where("prefix <> ''")
+    counts = corpus(spark, sf_dir, (1, 2))
+    return L.bigram_aware(asked, kn2(counts, _asked(asked, "w2")), words_of(counts))
+
+
+def _merged(spark, sf_dir):
+    return L.merged(_typed(spark, sf_dir).select(F.col("target").alias("query")), unigrams(spark, sf_dir, "conversations"), unigrams(spark, sf_dir))
+
+
+@query
+def merged_suggestions(spark, sf_dir):
+    return _merged(spark, sf_dir)
+
+
+@query
+def display_slots(spark, sf_dir):
+    listed = F.array_sort(F.collect_list(F.struct("place", "w")))
+    rows = _merged(spark, sf_dir).groupBy("query").agg(F.transform(listed, lambda x: x["w"]).alias("ws"))
+    return rows.select("query", F.posexplode(L.display_slots(F.col("query"), F.col("ws"))).alias("slot", "w"))
+
+
+@query
+def user_blend(spark, sf_dir):
+    events = read(spark, sf_dir, "events")
+    moves = U.steps(events).groupBy("prev", "w").agg(F.count("*").alias("n"))
+    pack = moves.join(moves.groupBy("prev").agg(F.max("n").alias("most")), "prev").select("prev", "w", (F.col("n") / F.col("most")).alias("score"))
+    own = U.scores(events).withColumn("key", F.concat_ws(":", "user_id", "prev"))
+    keys = own.select("key", "prev").distinct()
+    return L.blended(keys.join(pack, "prev").select("key", "w", "score"), own.select("key", "w", "score", "dee"), "key").withColumn("score", F.round("score", 6))
+
+
+@query
+def word_membership(spark, sf_dir):
+    known = unigrams(spark, sf_dir).select(F.col("w").alias("target")).withColumn("known", F.lit(True))
+    return _typed(spark, sf_dir).join(known, "target", "left").select("target", F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query
+def first_completions(spark, sf_dir):
+    return L.first_completions(_typed(spark, sf_dir).select(F.substring("target", 1, 3).alias("prefix")), unigrams(spark, sf_dir))
+
+
+#: What is typed of a snippet's code.
+SNIPPETS = ("", "n", "nation_1", "nation_2", "x")
+
+
+@query
+def snippet_matches(spark, sf_dir):
+    store_of = read(spark, sf_dir, "nation").select(F.lower("n_name").alias("code"), F.concat_ws(" ", "n_name", "n_regionkey").alias("expansion"))
+    return L.snippets(spark.createDataFrame([(p,) for p in SNIPPETS], "prefix string"), store_of)
+
+
+@query
+def text_ends(spark, sf_dir):
+    ctx, prefix = T.typed(F.col("text"))
+    return read(spark, sf_dir, "benchmark").select("item_id", T.trailing_fragment(F.col("text")).alias("fragment"), ctx.alias("ctx"), prefix.alias("prefix"))
+
+
+@query
+def genre_sample(spark, sf_dir):
+    return P.by_genre(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 5)
+
+
+@query
+def phrase_attach(spark, sf_dir):
+    counts = corpus(spark, sf_dir, (1, 2, 3))
+    words = read(spark, sf_dir, "benchmark").select("item_id", T.raw_words(F.col("text")).alias("t"))
+    pairs = P.candidates(words.select("item_id", F.explode(P.runs(F.col("t"), (2,))).alias("text")), 2, 2)
+    return P.attached(pairs, M.top_words(words_of(counts), COMMON), kn3(counts))
+
+
+@query
+def phrase_extensions(spark, sf_dir):
+    asked = _requests(spark, sf_dir)
+    contexts = asked.select(F.col("w2").alias("ctx")).union(_asked(asked, "w1", "w2"))
+    return P.extensions(contexts, P.phrase_counts(T.lines(read(spark, sf_dir, "documents")), _phrases(spark, sf_dir)))
+
+
+@query
+def learned_words(spark, sf_dir):
+    words = read(spark, sf_dir, "benchmark").select("item_id", F.posexplode(T.raw_words(F.col("text"))).alias("no", "w"))
+    commits = words.select("w", F.when((F.col("item_id") + F.col("no")) % 2 == 0, "flush").otherwise("tap").alias("how"))
+    return P.learned(commits, unigrams(spark, sf_dir))
 
 
 def _typed(spark, sf_dir):
@@ -311,3 +508,33 @@ def event_metrics(spark, sf_dir):
 @query
 def stream_word_frequencies(spark, sf_dir):
     return streamed.word_frequencies(spark, f"{sf_dir}/events.parquet")
+
+
+@query
+def recorded_transitions(spark, sf_dir):
+    return U.recorded(read(spark, sf_dir, "events")).withColumn("dee", F.round("dee", 6))
+
+
+@query
+def daily_decay(spark, sf_dir):
+    return U.daily_decay(read(spark, sf_dir, "events"))
+
+
+@query
+def pruned_dictionary(spark, sf_dir):
+    return U.pruned_dictionary(unigrams(spark, sf_dir))
+
+
+@query
+def prefix_maxima(spark, sf_dir):
+    return U.prefix_maxima(unigrams(spark, sf_dir))
+
+
+@query
+def event_percentiles(spark, sf_dir):
+    return U.nearest_rank(read(spark, sf_dir, "events"), "event_type", "value")
+
+
+@query
+def two_before(spark, sf_dir):
+    return U.two_before(read(spark, sf_dir, "events"))

@@ -1 +1 @@
-
+"""Where texts, lists and models come from, and where counts and models are kept."""

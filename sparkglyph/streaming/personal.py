@@ -2,27 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is named and Spark runs locally."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = tempfile.mkdtemp(prefix="stream-")
-    return found.rstrip("/")
+from sparkglyph.sources.store import shared_folder
 
 
 def word_frequencies(spark: SparkSession, path: str, state: str | None = None) -> DataFrame:
     """(user_id, w, frequency) after all events of `path` went through the stream once. With a lasting `state` folder a later
     run takes only new files on top. Reads the result from the state itself, so no sink holds a second copy."""
-    state = state or f"{_shared(spark)}/words-{uuid.uuid4().hex}"
+    state = state or f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     source = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else spark.readStream.schema(schema).parquet(path)

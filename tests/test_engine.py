@@ -7,7 +7,7 @@ import pytest
 from sparkglyph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "conversations", "benchmark", "events")
+TABLES = ("documents", "conversations", "benchmark", "events", "nation")
 
 
 def rows(df: pd.DataFrame) -> list:
