@@ -1,7 +1,6 @@
 """Each query against a brute-force version on the smallest tables, and the defined cases on a small table of odd rows."""
 
 import hashlib
-import json
 import re
 import zlib
 from collections import defaultdict
@@ -271,14 +270,152 @@ def test_empty(spark, odd, tmp_path, name):
     assert run(spark, name, str(tmp_path)) == []
 
 
-def test_ledger_scans_only_what_is_new(spark, odd, tmp_path):
-    from sparkglyph.llm.secret_scan import update_ledger
+def test_ledger_scans_only_what_is_new(spark, tmp_path):
+    """Two versions of a corpus and changed rules: blobs are scanned once, findings come back at every place."""
+    from sparkglyph.llm.secret_scan import RULES, all_findings, find_secrets
 
-    docs, ledger = spark.read.parquet(f"{odd}/documents.parquet"), str(tmp_path / "ledger")
-    n = update_ledger(docs, ledger).count()
-    update_ledger(docs, ledger)
-    assert spark.read.parquet(ledger).count() <= n + 1 and n == len(set((t or "") for t in ODD))
-    assert json.dumps(n)
+    ledger = str(tmp_path / "ledger")
+    versions = {"v1": [(1, "password=abcdef1"), (2, "x"), (3, "x"), (None, None)], "v2": [(1, "password=abcdef2"), (2, "x"), (9, "password=abcdef1")]}
+    scanned = []
+    for name, held in versions.items():
+        got = find_secrets(spark.createDataFrame(held, "doc_id long, text string"), ledger, version=name).collect()
+        assert sorted((str(r.doc_id), len(r.spans)) for r in got) == sorted((str(d), int("password" in (t or ""))) for d, t in held)
+        scanned.append(spark.read.parquet(f"{ledger}/scans").count())
+    assert scanned == [3, 4]
+    assert sorted((r.version, r.doc_id) for r in all_findings(spark, ledger).collect()) == [("v1", 1), ("v2", 1), ("v2", 9)]
+    find_secrets(spark.createDataFrame(versions["v2"], "doc_id long, text string"), ledger, rules=RULES[:1], version="v3")
+    assert spark.read.parquet(f"{ledger}/scans").count() == 4 + 3
+
+
+@pytest.mark.parametrize("width", [None, 0])
+def test_exact_over_three_runs(spark, tmp_path, width):
+    """Three runs over one state give what one run over all rows gives; width 0: all digests are equal."""
+    from pyspark.sql import functions as F
+
+    from sparkglyph.llm.exact_dedup import exact_duplicates
+
+    texts = [["a b", "ab", "c", None, "d"], ["a  b", "x", "c c", "cc ", ""], ["ab", "q", "c", "d d", "a b     "]]
+    ids = [[-(2**63), 1, 2, 3, 4], [5, None, 7, 8, 9], [10, 11, 2**63 - 1, 13, 14]]
+    digest = lambda t: F.unhex(F.sha2(t, 256)) if width is None else F.substring(F.unhex(F.sha2(t, 256)), 1, width)
+    for k in range(3):
+        pq.write_table(pa.table({"doc_id": pa.array(ids[k], pa.int64()), "text": texts[k], "digest": ["d"] * 5}), f"{tmp_path}/{k}.parquet")
+    pq.write_table(pa.table({"doc_id": pa.array(sum(ids, []), pa.int64()), "text": sum(texts, [])}), f"{tmp_path}/all.parquet")
+    of = lambda rows: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in rows.collect()}
+    whole = of(exact_duplicates(spark.read.parquet(f"{tmp_path}/all.parquet"), digest))
+    for k in range(3):
+        last = of(exact_duplicates(spark.read.parquet(f"{tmp_path}/{k}.parquet"), digest, str(tmp_path / "state")))
+    assert last == {d: whole[d] for d in ids[2]}
+
+
+def test_near_with_repeated_ids(spark):
+    """Rows that share a doc_id have nothing to do with each other."""
+    from sparkglyph.llm.near_dedup import drop_near_duplicates, near_duplicates
+
+    base = [chr(97 + k) for k in range(16)]
+    texts = [(0, " ".join(base)), (1, " ".join([*base[:15], "q"])), (1, "totally other words stand here and nothing else is alike"), (2, "third text with no relation to any of the others"), (None, " ".join([*base[:15], "r"])), (None, ""), (5, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates(docs).collect())
+    assert got == sorted([("0", 12, "0", True), ("1", 12, "0", False), ("1", 6, "1", True), ("2", 6, "2", True), ("None", 12, "0", False), ("None", 0, "None", False), ("5", 0, "5", True)])
+    assert sorted(str(r.text) for r in drop_near_duplicates(docs).collect()) == sorted(str(texts[k][1]) for k in (0, 2, 3, 5, 6))
+
+
+def test_shards_by_document(spark, odd, tmp_path):
+    """Every document decoded alone equals the library's ids, and nothing frequent is left in a shard."""
+    from collections import Counter
+
+    from sparkglyph.llm import token_files
+
+    token_files.write_token_files(spark.read.parquet(f"{odd}/documents.parquet"), str(tmp_path / "ids"))
+    found = [token_files.Shard(bytes(r.data)) for r in spark.read.parquet(str(tmp_path / "ids")).collect()]
+    got = sorted((d, shard.document(k).tolist()) for shard in found for k, d in enumerate(shard.doc_ids))
+    assert got == sorted((d, [*ids, 2]) for d, _, ids in encoded(odd)[1])
+    for shard in found:
+        seen, last = Counter(), {}
+        for k, pair in enumerate(zip(shard.symbols.tolist(), shard.symbols.tolist()[1:], strict=False)):
+            if last.get(pair) != k - 1 or pair[0] != pair[1]:
+                seen[pair] += 1
+                last[pair] = k
+        assert max(seen.values(), default=0) < token_files.LEAST
+
+
+def test_pieces_of_odd_texts():
+    """Ids of texts of all kinds of signs, by both encoders, with a table that has to forget."""
+    from sparkglyph.llm import _tokens
+    from sparkglyph.llm.bpe import SpeculativeBpe
+
+    draw = np.random.default_rng(3)
+    signs = ["a", "b", "Z", "é", "×", "ÿ", "1", "½", " ", "  ", "\n", "\t", "'", "'s", "'LL", ".", ",", "…", "\x00", "\x1c", "\r", "😀", "я", "中", "<|endoftext|>", " of", "\x85", "\u200b", "\u0301", "ing", "----"]
+    texts = ["".join(signs[int(k)] for k in draw.integers(len(signs), size=int(draw.integers(40)))) for _ in range(3000)] + ["x" * 9000, "ab" * 3000, "", None]
+    for kind in (_tokens.Encoder, SpeculativeBpe):
+        own = kind(default_tokenizer())
+        own.known = _tokens.Pieces(500)
+        for k in range(0, len(texts), 200):
+            ids, at = own.encode(pa.array(texts[k : k + 200], pa.string()))
+            for j, t in enumerate(texts[k : k + 200]):
+                assert ids[at[j] : at[j + 1]].tolist() == own.library.encode(t or "", add_special_tokens=False).ids, (kind, t)
+
+
+def test_language_score_by_hand(spark):
+    """A known word counts by its own rate, an unknown one by the mean rate of its longest known n-grams."""
+    from collections import Counter
+
+    from sparkglyph.llm import language_id
+
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("the the cat", "en"), ("the cats", "en"), ("die die katze", "de"), ("die katze", "de")])]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts = {lang: [Counter() for _ in range(6)] for lang in ("de", "en")}
+    for _, t, lang in rows:
+        for w in t.split():
+            counts[lang][0][w] += 1
+            for n in range(1, 6):
+                counts[lang][n].update(f" {w} "[i : i + n] for i in range(len(w) + 3 - n))
+
+    def rate(lang, n, gram):
+        return np.log((counts[lang][n][gram] or 0.5) / sum(counts[lang][n].values()))
+
+    known = lambda n, gram: sum(c[n][gram] for c in counts.values()) >= 2
+    total = []
+    for lang in ("de", "en"):
+        score = 0.0
+        for w in ("the", "katzen"):
+            if known(0, w):
+                score += rate(lang, 0, w)
+                continue
+            for n in range(5, 0, -1):
+                grams = [g for g in (f" {w} "[i : i + n] for i in range(len(w) + 3 - n)) if known(n, g)]
+                if grams:
+                    score += np.mean([rate(lang, n, g) for g in grams])
+                    break
+        total.append(score)
+    names, scores = language_id.Scorer(model).predict(["The katzen!", "12 ½", None])
+    assert names == [("de", "en")[int(np.argmax(total))], "und", "und"]
+    assert scores.tolist() == pytest.approx([np.exp(max(total)) / sum(np.exp(total)), 0, 0], abs=1e-5)
+
+
+def test_nearest_of_odd_vectors(spark, tmp_path):
+    """Repeated ids, lengths that differ, and vectors that take no part."""
+    from pyspark.sql import functions as F
+
+    from sparkglyph.llm.nearest import search
+
+    draw = np.random.default_rng(1)
+    v = [draw.normal(size=8).tolist() for _ in range(30)] + [None, [0.0] * 8, [], [float("nan")] * 8, [1.0, None], [1.0, 2.0], [2.0, 1.0], [1e-200] * 8]
+    ids = list(range(len(v)))
+    v, ids = [*v, v[0], v[0], [3.0, 3.0]], [*ids, 0, 50, 100]
+    pq.write_table(pa.table({"vec_id": ids, "embedding": pa.array(v, pa.list_(pa.float64())), "list": [1] * len(v), "file": ["x"] * len(v)}), f"{tmp_path}/v.parquet")
+    got = defaultdict(list)
+    for r in search(spark.read.parquet(f"{tmp_path}/v.parquet"), F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].append((r.rank, r.vec_id, round(r.score, 9)))
+    want = defaultdict(list)
+    ok = [k for k, x in enumerate(v) if x and None not in x and all(np.isfinite(x)) and any(x)]
+    for q in ok:
+        if ids[q] % 50 == 0:
+            unit = lambda x: np.array(x) / np.abs(x).max() / np.linalg.norm(np.array(x) / np.abs(x).max())
+            near = sorted((-round(float(unit(v[k]) @ unit(v[q])), 9), ids[k]) for k in ok if k != q and len(v[k]) == len(v[q]))[:5]
+            want[ids[q]] += [(n + 1, k, -s) for n, (s, k) in enumerate(near)]
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
+    pq.write_table(pa.table({"vec_id": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float32()))}), f"{tmp_path}/embeddings.parquet")
+    assert run(spark, "op9_nearest", str(tmp_path)) == []
 
 
 @pytest.mark.parametrize("block", [2048, 3])
