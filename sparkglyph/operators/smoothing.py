@@ -58,7 +58,9 @@ def _reachable(seen: DataFrame, totals: DataFrame, lower: DataFrame, listed: int
     low = lower.select(F.col("ctx").alias("short"), "w", F.col("raw").alias("low"))
     own = seen.join(short, "ctx").join(low, ["short", "w"], "left").select("ctx", "w", "count", "low")
     place = F.row_number().over(Window.partitionBy("short").orderBy(F.desc("low"), "w"))
-    more = short.join(low.withColumn("place", place), "short").where(F.col("place") <= listed + F.col("distinct_n"))
+    # a row for each place that is asked for, so the join grows with the trigrams and not with the followers of their short contexts
+    asked = short.withColumn("place", F.explode(F.sequence(F.lit(1), (F.col("distinct_n") + listed).cast("int"))))
+    more = asked.join(low.withColumn("place", place), ["short", "place"])
     return own.unionByName(more.select("ctx", "w", F.lit(0).cast("long").alias("count"), "low")).groupBy("ctx", "w").agg(F.max("count").alias("count"), F.max("low").alias("low"))
 
 
