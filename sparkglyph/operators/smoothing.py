@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkglyph.sources.store import kept
+
 from .counts import context_totals, continuation, of_order, unigram_mle
 
 DISCOUNT, FOLLOWERS, LEAST, KATZ_K, DELTA = 0.75, 10, 3, 5, 1e-6
@@ -122,7 +124,7 @@ def _beta(seen_low: DataFrame) -> DataFrame:
 
 def katz_backoff(counts: DataFrame, k: int = FOLLOWERS, textbook: bool = False) -> DataFrame:
     """(ctx, w, raw): bigram followers and, with the mass left, the k most frequent words unseen there; the best k."""
-    seen = _discounted(counts, 2, textbook=textbook)
+    seen = kept(_discounted(counts, 2, textbook=textbook), "seen")
     uni = unigram_mle(of_order(counts, 1))
     often = uni.orderBy(F.desc("count"), "w").limit(k)
     beta = _beta(seen.join(uni.select("w", F.col("p").alias("low")), "w", "left")).where("beta > 0")
@@ -133,8 +135,9 @@ def katz_backoff(counts: DataFrame, k: int = FOLLOWERS, textbook: bool = False)
 def _katz_parts(counts: DataFrame, least: int, k: int, textbook: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     seen = _discounted(counts, 3, least, textbook).withColumn("short", F.regexp_replace("ctx", "^[^ ]* ", ""))
     low = katz_backoff(counts, k, textbook).select(F.col("ctx").alias("short"), "w", F.col("raw").alias("low"))
-    both = seen.join(low, ["short", "w"], "left")
-    return both, low, _beta(both)
+    low = kept(low, "backoff")  # these three are used several times each
+    both = kept(seen.join(low, ["short", "w"], "left"), "seen")
+    return both, low, kept(_beta(both), "beta")
 
 
 def katz_trigrams(counts: DataFrame, least: int = LEAST, k: int = FOLLOWERS, textbook: bool = False) -> DataFrame:
