@@ -312,6 +312,7 @@ def encoder(path: str, kind: type[Encoder] = Encoder) -> Encoder:
     key = f"{kind.__name__}:{path}"
     if key not in _encoders:
         _encoders[key] = kind(path)
+        _encoders[key].__dict__.pop("description", None)  # parsed again if asked for
     return _encoders[key]
 
 

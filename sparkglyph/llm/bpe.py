@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._base import documents, id_text, table, text_steps
+from ._base import documents, id_text, table, text_steps, tidied
 from ._tokens import STEP, Encoder, default_tokenizer, encoder, spread
 
 #: Letters up to which a word's pairs are looked through for the best one each time.
@@ -192,7 +192,7 @@ def _over(docs: DataFrame, tokenizer: str | None, ddl: str, left, right) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = encoder(tokenizer, SpeculativeBpe)
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b in text_steps(batch.column("text"), STEP):
                 ids, at = codec.encode(batch.column("text")[a:b])
                 rows = (batch.column("doc_id")[a:b], np.diff(at), list(map(left, codec.decimal_texts(ids, at))), list(map(right, codec.decoded(ids, at))))

@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import documents, id_text, small_batches, table, text_steps, written
+from ._base import documents, id_text, small_batches, table, text_steps, tidied, written
 from ._words import HashIndex, hash_spans, mix, words
 
 SAMPLE, RARE, LEAST = 20_000, 1_000, 2
@@ -88,7 +88,7 @@ def train(rows: DataFrame, sample: int = SAMPLE, rare: int = RARE) -> dict:
     schema = pa.schema([("lang", pa.int32()), ("n", pa.int32()), ("h", pa.int64()), ("times", pa.int64())])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for first in range(0, batch.num_rows, 50_000):
                 part = batch.slice(first, 50_000)
                 data, at = code_points(part.column("word").to_pylist())
@@ -190,7 +190,7 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared)
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b in text_steps(batch.column("text"), STEP):
                 names, scores = own.predict(batch.column("text")[a:b].to_pylist())
                 yield table({"doc_id": batch.column("doc_id")[a:b], "lang_pred": names, "score": scores}, schema)
@@ -205,7 +205,7 @@ def keep_identified(docs: DataFrame, model: dict, least: float = LEAST_SCORE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = scorer(shared)
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b in text_steps(batch.column(at), STEP):
                 names, scores = own.predict(batch.column(at)[a:b].to_pylist())
                 yield batch.slice(a, b - a).filter(pa.array([x != "und" and s >= least for x, s in zip(names, scores.tolist(), strict=True)], pa.bool_()))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import BROADCAST_ROWS, buffers, documents, few_rows, located, locator, table, text_steps, without, written
+from ._base import BROADCAST_ROWS, buffers, documents, few_rows, located, locator, table, text_steps, tidied, tidied_group, without, written
 from ._graph import components
 from ._words import mix, shingle_sets
 
@@ -74,7 +74,7 @@ def _digest(members: bytes) -> bytes:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in tidied(batches):
         for a, b in text_steps(batch.column("text"), STEP):
             part = batch.slice(a, b - a)
             n, digests, hashes, bands, ends = [], [], [], [], [0]
@@ -94,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("rep", pa.int64()), ("members", pa.binary())])
-    for batch in batches:
+    for batch in tidied(batches):
         for a, b in text_steps(batch.column("text"), STEP):
             part = batch.slice(a, b - a)
             yield table({"rep": part.column("rep"), "members": [s.tobytes() for s in shingle_sets(*buffers(part.column("text")), SHINGLE)]}, schema)
@@ -102,14 +102,14 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose minhashes agree in AGREE places at least."""
-    for batch in batches:
+    for batch in tidied(batches):
         x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("ha", "hb"))
         yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough."""
-    for batch in batches:
+    for batch in tidied(batches):
         ok = []
         for p, q in zip(batch.column("sa"), batch.column("sb"), strict=True):
             x, y = np.frombuffer(p.as_py(), np.uint64), np.frombuffer(q.as_py(), np.uint64)
@@ -157,6 +157,7 @@ def _candidates(key: tuple, rows: pa.Table) -> Iterator[tuple[np.ndarray, np.nda
             yield x[ok], y[ok]
 
 
+@tidied_group
 def _partnered(key: tuple, rows: pa.Table) -> pa.Table:
     """The rows of a block that have a candidate in it."""
     some = np.zeros(rows.num_rows, bool)
@@ -165,6 +166,7 @@ def _partnered(key: tuple, rows: pa.Table) -> pa.Table:
     return rows.filter(pa.array(some))
 
 
+@tidied_group
 def _joined(key: tuple, rows: pa.Table) -> pa.Table:
     """Links (a, b), confirmed on full sets, that connect the same components of a block as all its links do."""
     sets = [np.frombuffer(m.as_py(), np.uint64) for chunk in rows.column("members").chunks for m in chunk]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import documents, id_text, table, text_steps, written
+from ._base import documents, id_text, table, text_steps, tidied, written
 from ._tokens import STEP, default_tokenizer, ended_ids
 
 CAPACITY = 1024
@@ -115,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     """Ids of each text with the end id, cut into pieces of `capacity`; the first may be shorter."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b in text_steps(batch.column("text"), STEP):
                 ids, at = ended_ids(tokenizer, batch.column("text")[a:b])
                 n = np.diff(at)
@@ -145,7 +145,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("rank", F.col("rank") + F.col("before")).drop("before", "slice", "pos")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in tidied(batches):
             length, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("length", "rank"))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)
             order = np.argsort(length, kind="stable")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import documents, few_bytes, located, locator, table, text_steps, texts, without, work_path, written
+from ._base import documents, few_bytes, located, locator, table, text_steps, texts, tidied, without, work_path, written
 
 #: The three kinds in order, their patterns, the group whose length counts, and the least length.
 RULES = (
@@ -78,7 +78,7 @@ def scan_unseen(docs: DataFrame, ledger: str, rules: tuple = RULES, version: str
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(rules)
-        for batch in batches:
+        for batch in tidied(batches):
             for a, b in text_steps(batch.column("text")):
                 spans = [[{"kind": k, "start": x, "end": y} for k, x, y in find(t)] for t in texts(batch.column("text")[a:b])]
                 yield table({"blob": batch.column("blob")[a:b], "rules": [of] * (b - a), "spans": spans}, schema)
