@@ -4,6 +4,7 @@ import duckdb
 import pandas as pd
 import pytest
 
+from sparkglyph.operators import counts as C
 from sparkglyph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -108,3 +109,21 @@ def test_phrases_from_whole_texts(spark, tmp_path):
     assert counts == dict.fromkeys(["one two three", "two three four", "one two three four", "six seven eight"], 1)
     common = {r.phrase for r in catalog.QUERIES["phrase_all_common"](spark, str(tmp_path)).collect()}
     assert common == {p for p in want if set(p.split()) <= set("say one two three four now six seven eight".split())}
+
+
+def test_lines_are_cut_once(spark):
+    lines = spark.createDataFrame([("a  b c\x85D'e, f　" + "x" * 31 + " g\x1c" + "y" * 30 + " \t",), ("",), (None,)], "line string")
+    counted = C.ngram_counts(lines, (2,))
+    assert sum("lower(line" in x for x in counted._jdf.queryExecution().optimizedPlan().toString().split("\n")) == 1
+    t = ["a", "b", "c", "f", "g", "y" * 30]
+    assert {(r.ctx, r.w) for r in counted.collect()} == set(zip(t, t[1:]))
+
+
+def test_only_asked_contexts_are_counted(spark, monkeypatch):
+    lines = spark.createDataFrame([("a b c a b d b c",), ("b c a",)], "line string")
+    only = spark.createDataFrame([("a b",), ("x y",)], "ctx string")
+    rows = lambda: {(r.n, r.ctx, r.w, r["count"]) for r in C.ngram_counts(lines, (2, 3), {3: only}).collect()}
+    every = {(r.n, r.ctx, r.w, r["count"]) for r in C.ngram_counts(lines, (2, 3)).collect()}
+    assert rows() == {x for x in every if x[0] == 2 or x[1] == "a b"}
+    monkeypatch.setattr(C, "FEW", 1)
+    assert rows() == every
