@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from sparkglyph.operators import counts as C
+from sparkglyph.operators import smoothing as S
 from sparkglyph.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -127,3 +128,23 @@ def test_only_asked_contexts_are_counted(spark, monkeypatch):
     assert rows() == {x for x in every if x[0] == 2 or x[1] == "a b"}
     monkeypatch.setattr(C, "FEW", 1)
     assert rows() == every
+
+
+def test_totals_come_with_the_counts(spark):
+    lines = spark.createDataFrame([("a b c a b d b c",), ("b c a",)], "line string")
+    made = C.totalled_counts(lines, (1, 2, 3))
+    plain = C.ngram_counts(lines, (1, 2, 3))
+    assert sorted(made.select("n", "ctx", "w", "count").collect()) == sorted(plain.collect())
+    for n in (2, 3):
+        assert sorted(C.with_totals(made, n, 2).collect()) == sorted(C.with_totals(plain, n, 2).collect())
+    plan = C.with_totals(C.totalled_counts(lines, (2, 3)), 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_katz_backoff_lists_unseen_words_without_a_join_of_all_seen(spark, tmp_path):
+    lines = spark.createDataFrame([("a b c a b d b c a a b",), ("b c a e",)], "line string")
+    found = S.katz_trigrams(C.totalled_counts(lines, (1, 2, 3)), least=1)
+    assert "LeftAnti" not in found._jdf.queryExecution().optimizedPlan().toString()
+    seen = {(r.ctx, r.w) for r in C.of_order(C.ngram_counts(lines, (3,)), 3).collect()}
+    rows = [(r.ctx, r.w) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and seen <= set(rows)
