@@ -1,4 +1,5 @@
-"""Comparing, capping and quantizing models, and the tables of a language pack. A model is (ctx, rank, w, score, support)."""
+"""Comparing, capping and quantizing models, and the tables of a language pack. A model is (ctx, rank, w, score, support); what
+compares best followers alone takes rows that aren't ranked, (ctx, w, raw, support), too."""
 
 from __future__ import annotations
 
@@ -18,8 +19,12 @@ def by_context(model: DataFrame) -> DataFrame:
     return model.groupBy("ctx").agg(F.transform(listed, lambda x: x["w"]).alias("ws"), F.transform(listed, lambda x: x["score"]).alias("scores"), F.max("support").alias("support"))
 
 
-def tops(model: DataFrame, name: str) -> DataFrame:
-    """(ctx, top word, followers, support), without collecting lists."""
+def tops(model: DataFrame, name: str, k: int = 10) -> DataFrame:
+    """(ctx, top word, followers, support), without collecting lists. Of rows without ranks (ctx, w, raw, support), what their
+    top lists of `k` would give: the best is found on the map side, so nothing is ranked and few rows move."""
+    if "rank" not in model.columns:
+        best = F.min(F.struct((-F.col("raw")).alias("below"), "w"))["w"]
+        return model.groupBy("ctx").agg(best.alias(f"top_{name}"), F.least(F.count("*"), F.lit(k)).alias(f"n_{name}"), F.max("support").alias(f"support_{name}"))
     return model.groupBy("ctx").agg(F.max(F.when(F.col("rank") == 1, F.col("w"))).alias(f"top_{name}"), F.count("*").alias(f"n_{name}"), F.max("support").alias(f"support_{name}"))
 
 

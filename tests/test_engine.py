@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 
 from sparkglyph.operators import counts as C
+from sparkglyph.operators import models as M
 from sparkglyph.operators import smoothing as S
 from sparkglyph.plans import catalog
 
@@ -148,3 +149,26 @@ def test_katz_backoff_lists_unseen_words_without_a_join_of_all_seen(spark, tmp_p
     seen = {(r.ctx, r.w) for r in C.of_order(C.ngram_counts(lines, (3,)), 3).collect()}
     rows = [(r.ctx, r.w) for r in found.collect()]
     assert len(rows) == len(set(rows)) and seen <= set(rows)
+
+
+def test_one_order_is_counted_before_it_is_dealt(spark):
+    lines = spark.createDataFrame([("a b c a b d b c",), ("b c a",)] * 3, "line string")
+    made = C.totalled_counts(lines, (2,))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and plan.count("partial_count") == 1
+    assert plan.index("Window") < plan.index("Exchange hashpartitioning") < plan.index("partial_count")
+
+
+def test_best_followers_without_ranks(spark):
+    """tops() of rows is what it is of their ranked lists, with ties and contexts of more than ten followers."""
+    rows = [("t", w, 0.5, 9) for w in "zyb"] + [("m", f"w{i:02}", 1.0 - (i % 7) / 10, 30) for i in range(13)] + [("o", "x", 0.25, 1)]
+    rows = spark.createDataFrame(rows, "ctx string, w string, raw double, support long")
+    want, got = M.tops(S.top_followers(rows), "a"), M.tops(rows, "a")
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+    assert {(r.ctx, r.top_a, r.n_a) for r in got.collect()} == {("t", "b", 3), ("m", "w00", 10), ("o", "x", 1)}
+
+
+@pytest.mark.parametrize("name", ["compare_three_way"])
+def test_comparisons_rank_nothing(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "strategy=shuffle_hash" in plan
