@@ -168,7 +168,7 @@ def test_best_followers_without_ranks(spark):
     assert {(r.ctx, r.top_a, r.n_a) for r in got.collect()} == {("t", "b", 3), ("m", "w00", 10), ("o", "x", 1)}
 
 
-@pytest.mark.parametrize("name", ["compare_three_way"])
+@pytest.mark.parametrize("name", ["compare_three_way", "top_disagreements"])
 def test_comparisons_rank_nothing(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "strategy=shuffle_hash" in plan
