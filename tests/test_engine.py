@@ -172,3 +172,25 @@ def test_best_followers_without_ranks(spark):
 def test_comparisons_rank_nothing(spark, name):
     plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number" not in plan and "strategy=shuffle_hash" in plan
+
+
+def test_each_place_is_dealt_once(spark, monkeypatch):
+    lines = spark.createDataFrame([("a b c a b d b c",), ("b c a",), ("",), (None,), ("a",), ("e f",), ("a b",), ("it's 5 a b c",)], "line string")
+    cut, tokens = [], C.tokens
+    monkeypatch.setattr(C, "tokens", lambda line: cut.append(1) or tokens(line))
+    made = C.three_orders(lines)
+    assert len(cut) == 1
+    want = C.totalled_counts(lines, (1, 2, 3))
+    assert made.columns == want.columns and len(made.collect()) == want.count()
+    assert {tuple(r) for r in made.collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_pruned_contexts_are_dealt_once_for_sums_and_ranks(spark):
+    lines = spark.createDataFrame([("a b c a b d b c a b c",), ("b c a e a b d",)] * 3, "line string")
+    found = S.top_followers(S.pruned_trigrams(C.three_orders(lines)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("ShuffledHashJoin")]  # what follows the last join moves nothing
+    counts = C.totalled_counts(lines, (1, 2, 3))
+    both, _, beta = S._katz_parts(counts, S.LEAST, S.FOLLOWERS, False)
+    assert {(r.ctx, r.w) for r in found.collect()} <= {(r.ctx, r.w) for r in both.collect()} and beta.where("beta > 0").count() == 0
+    assert found.where("ctx = 'a b'").count() == 2
